@@ -97,7 +97,11 @@ def document_statistics(documents: DataFrame) -> DataFrame:
 
 def train(stats: DataFrame, rows: int = SAMPLE_ROWS, share: float = LEAST_SHARE) -> gbt.Forest:
     """Trees fitted on the driver to at most ``rows`` documents, labelled by the definition."""
-    sample = stats.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
+    total = stats.count()
+    some = stats
+    if total > 2 * rows:  # by hash, so that no more than some 2 * rows come to the driver at any size
+        some = stats.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * 1.5 * rows / total))
+    sample = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
     x = sample[list(FEATURES)].to_numpy(float)
     y = ((sample.n_words >= LEAST_WORDS) & (sample.n_repeated > share * sample.n_words)).to_numpy(float)
     return gbt.fit(x, y, list(FEATURES.values()))

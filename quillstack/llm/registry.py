@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, heavy, repetition, spans, termcounts
+from . import bpe, heavy, leaks, repetition, spans, termcounts
 
-_MODULES = (repetition, heavy, termcounts, spans, bpe)
+_MODULES = (repetition, heavy, termcounts, spans, leaks, bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, heavy, leaks, mixture, repetition, spans, termcounts
+from . import bpe, heavy, leaks, mixture, repetition, residue, spans, termcounts
 
-_MODULES = (repetition, heavy, termcounts, spans, leaks, bpe, mixture)
+_MODULES = (repetition, heavy, termcounts, spans, leaks, bpe, mixture, residue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

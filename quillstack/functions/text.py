@@ -22,6 +22,7 @@ SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 _ANY = f"[{LETTER}{DIGIT}]"
 #: Possessive throughout: a token of any length takes no stack.
 TOKEN = rf"(?s){_ANY}++(?:(?:[._](?={_ANY})|(?<=[{LETTER}])'(?=[{LETTER}])){_ANY}++)*+|[{SPACE}]++|."
+_UNIT = rf"(?s)(?:(?<={_ANY}) (?={_ANY}))?+({TOKEN.removeprefix('(?s)')})"
 #: The same without looking around, for RE2.
 TOKEN_RE2 = rf"(?s:(?:[{DIGIT}]|[{LETTER}](?:'[{LETTER}])*)(?:[._]?(?:[{DIGIT}]|[{LETTER}](?:'[{LETTER}])*))*|[{SPACE}]+|.)"
 WORD, BLANK, MARK = "word", "whitespace", "punct"
@@ -64,17 +65,19 @@ def not_blank(text: Column) -> Column:
     return text.rlike(f"[^{SPACE}]")
 
 
-def without_implicit_spaces(tokens_: Column) -> Column:
-    """Tokens without the single spaces that stand between two words."""
-    return F.filter(
-        tokens_,
-        lambda t, i: ~((t == " ") & (i > 0) & (i < F.size(tokens_) - 1) & F.coalesce(is_word(F.get(tokens_, i - 1)) & is_word(F.get(tokens_, i + 1)), F.lit(False))),
-    )
+def units(text: Column | str) -> Column:
+    """The tokens of a text without the single spaces that stand between two words.
 
+    Such a space has a letter or digit on either side, so the pattern passes it over in the same scan.
+    """
+    return F.regexp_extract_all(text, F.lit(_UNIT), F.lit(1))
 
-def with_implicit_spaces(tokens_: Column) -> Column:
-    """The text of tokens, a space put between neighbours that are both words."""
-    return F.array_join(F.transform(tokens_, lambda t, i: F.when((i > 0) & is_word(t) & is_word(F.get(tokens_, i - 1)), F.concat(F.lit(" "), t)).otherwise(t)), "")
+
+def spaced(units_: Column) -> Column:
+    """The text of units, a space put between neighbours that are both words."""
+    before = F.concat(F.array(F.lit("")), units_)
+    parts = F.zip_with(units_, before, lambda t, b: F.when(t.isNull(), "").when(is_word(t) & is_word(b), F.concat(F.lit(" "), t)).otherwise(t))
+    return F.array_join(parts, "")
 
 
 def displayed(token: Column) -> Column:

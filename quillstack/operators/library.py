@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +68,8 @@ def embedded(words: DataFrame, model: Callable[[list[str]], list[list[float]]])
     """``words`` with the normalised vector that ``model`` gives for a batch of lemmas."""
 
     @F.pandas_udf("array<float>")
-    def vectors(lemma):
-        return lemma.__class__(model(lemma.tolist()))
+    def vectors(lemma: pd.Series) -> pd.Series:
+        return pd.Series(model(lemma.tolist()))
 
     return words.withColumn("embedding", normalised(vectors("lemma")).cast("array<float>"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +12,13 @@ from ..operators.ranking import ranked
 
 
 @F.pandas_udf("string")
-def escaped(tokens):
+def escaped(tokens: pd.Series) -> pd.Series:
     """Tokens with everything outside printable ASCII as backslash escapes."""
     return tokens.map(lambda t: t.encode("unicode_escape").decode("ascii"))
 
 
 @F.pandas_udf("string")
-def unescaped(tokens):
+def unescaped(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: codecs.decode(t, "unicode_escape"))
 
 

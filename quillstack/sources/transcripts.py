@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Y
 
 from ..operators import transcripts as O
 
 CHUNK = "array<struct<text: string, start: double, end: double, start_hms: string, end_hms: string, speaker: string>>"
 FILE = f"video_id string, channel_name string, title string, chunks {CHUNK}, _broken string"
-META = Y.StructType.fromDDL("video_id string, channel_name string, title string, chunk_id int, start double, end double, start_hms string, end_hms string, speaker string")
 
 
 def read_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -303,11 +304,11 @@ def token_counts(documents: DataFrame, name: str, folder: str = TOKENIZERS, ahea
         ahead = encoder(name, folder).ahead
 
     @F.pandas_udf("long")
-    def n_tokens(texts):
+    def n_tokens(texts: pd.Series) -> pd.Series:
         if ranked:
             own = encoder(name, folder, ahead)
             return texts.map(own.count)
-        return texts.__class__(_library(name, folder)([t or "" for t in texts]))
+        return pd.Series(_library(name, folder)([t or "" for t in texts]))
 
     return documents.withColumn("n_tokens", n_tokens("text")).drop("text")
 

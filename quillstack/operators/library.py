@@ -41,7 +41,7 @@ def lemmas(surfaces: DataFrame, analysed: DataFrame | None = None, most: int = 1
 def with_ids(words: DataFrame, registered: DataFrame | None = None) -> DataFrame:
     """``words`` (lemma, frequency) with tier by rank and id: the next number of the tier whose id isn't in ``registered`` (id).
 
-    Numbers already taken are skipped: the free ones, ranked, are joined by rank. Only as many numbers as there
+    Numbers already taken are skipped: the free ones, ranked, are joined by rank; a tier without any left is an error. Only as many numbers as there
     are words and registered ids are ever looked at.
     """
     first, second = LIBRARY_RANKS
@@ -61,7 +61,8 @@ def with_ids(words: DataFrame, registered: DataFrame | None = None) -> DataFrame
         own = spark.range(need).select(F.col("id").alias("number")).join(taken.where(F.col("tier") == tier).select("number"), "number", "left_anti")
         own = ranked(own, "k", F.asc("number")).withColumn("tier", F.lit(tier))
         free = own if free is None else free.unionByName(own)
-    return tiered.join(free, ["tier", "k"]).withColumn("id", encoded_id(F.col("tier"), F.col("number"))).drop("place", "k", "number")
+    id_ = F.when(F.col("number").isNotNull(), encoded_id(F.col("tier"), F.col("number"))).otherwise(F.raise_error(F.lit("a tier has no free id left")))
+    return tiered.join(free, ["tier", "k"], "left").withColumn("id", id_).drop("place", "k", "number")
 
 
 def embedded(words: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -71,7 +72,7 @@ def embedded(words: DataFrame, model: Callable[[list[str]], list[list[float]]])
     def vectors(lemma: pd.Series) -> pd.Series:
         return pd.Series(model(lemma.tolist()))
 
-    return words.withColumn("embedding", normalised(vectors("lemma")).cast("array<float>"))
+    return words.withColumn("embedding", vectors("lemma")).withColumn("embedding", normalised(F.col("embedding")).cast("array<float>"))
 
 
 def poles(seeds: DataFrame) -> DataFrame:

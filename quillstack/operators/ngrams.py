@@ -12,9 +12,9 @@ from .ranking import running, top
 
 
 def runs(words: Column, least: int, most: int) -> Column:
-    """All runs of ``least`` to ``most`` words as structs of n and phrase."""
+    """All runs of ``least`` to ``most`` words as structs of n and phrase; null where there are fewer words."""
     of = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.struct(n.alias("n"), F.array_join(F.slice(words, k, n), " ").alias("phrase")))
-    return F.flatten(F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.size(words))), of))
+    return F.when(F.size(words) >= least, F.flatten(F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.size(words))), of)))
 
 
 def held_back(texts: DataFrame, ids: list[str] | DataFrame = HELD_OUT, column: str = "video_id") -> DataFrame:

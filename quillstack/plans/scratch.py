@@ -43,3 +43,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Columns of a Parquet table in ``folder``; the scan reads those alone."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a scan has fewer parts than there are cores: small tables in one row group.
+
+    A table of many files has more parts than that and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

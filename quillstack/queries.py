@@ -11,7 +11,7 @@ from . import constants as C
 from .functions import caps, ids
 from .functions import text as T
 from .operators import codec, dictionary, fillers, frequency, library, ngrams, phrases, transcripts
-from .plans.scratch import table, written
+from .plans.scratch import spread, table, written
 from .sources import formats
 from .sources import library as tables
 
@@ -29,7 +29,7 @@ def _quoted(values) -> str:
 
 
 def _docs(s: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(s, d, "documents", *(columns or ("doc_id", "text")))
+    return spread(table(s, d, "documents", *(columns or ("doc_id", "text"))))
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
@@ -476,11 +476,11 @@ def library_ids(s, d):
 
 
 @_query(f"""with {_LEMMA}, ranked as (select *, row_number() over (order by frequency desc, lemma) as r from lem), own as (select *, {_SLOT} as tier, {_IN} as k from ranked),
-  free as (select tier, n, row_number() over (partition by tier order by n) - 1 as k from (select 1 as tier, n, {_id_sql('1', 'n')} as id from range(0, 1280) t(n) union all select 2, n, {_id_sql('2', 'n')} from range(0, 30000) t(n) union all select 3, n, {_id_sql('3', 'n')} from range(0, 30000) t(n)) where id not in (select id from word_library where tier = 1 or id like '%a'))
+  free as (select tier, n, row_number() over (partition by tier order by n) - 1 as k from (select 1 as tier, n, {_id_sql('1', 'n')} as id from range(0, 1280) t(n) union all select 2, n, {_id_sql('2', 'n')} from range(0, 30000) t(n) union all select 3, n, {_id_sql('3', 'n')} from range(0, 30000) t(n)) where id not in (select id from word_library where id like '%a'))
   select lemma, frequency, own.tier, {_id_sql('own.tier', 'free.n')} as id from own join free on free.tier = own.tier and free.k = own.k""")
 def library_ids_registered(s, d):
     words = library.lemmas(*_surfaces(s, d)).where("lemma is not null").select("lemma", "frequency")
-    taken = table(s, d, "word_library", "id", "tier").where("tier = 1 or endswith(id, 'a')").select("id")
+    taken = table(s, d, "word_library", "id").where("endswith(id, 'a')").select("id")
     return library.with_ids(words, taken).select("lemma", "frequency", "tier", "id")
 
 

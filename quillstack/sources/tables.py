@@ -5,21 +5,28 @@ from __future__ import annotations
 import codecs
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import ranked
 
 
-@F.pandas_udf("string")
-def escaped(tokens: pd.Series) -> pd.Series:
+def escaped(token: Column | str) -> Column:
     """Tokens with everything outside printable ASCII as backslash escapes."""
-    return tokens.map(lambda t: t.encode("unicode_escape").decode("ascii"))
 
+    @F.pandas_udf("string")
+    def run(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: t.encode("unicode_escape").decode("ascii"))
 
-@F.pandas_udf("string")
-def unescaped(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: codecs.decode(t, "unicode_escape"))
+    return run(token)
+
+
+def unescaped(token: Column | str) -> Column:
+    @F.pandas_udf("string")
+    def run(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: codecs.decode(t, "unicode_escape"))
+
+    return run(token)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

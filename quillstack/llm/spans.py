@@ -203,4 +203,12 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares}
-SQL: dict[str, str] = {}
+_WINDOWS = f"""
+  with spans as (select doc_id, k, hash(substr(text, k, {SPAN})) as h from (select doc_id, text, unnest(range(1, length(text) - {SPAN - 2})) as k from documents where length(text) >= {SPAN})),
+  shared as (select h from (select distinct doc_id, h from spans) group by h having count(*) > 1),
+  few as (select spans.* from spans join shared using (h))
+"""
+SQL = {
+    "p4_found": f"{_WINDOWS}, once as (select distinct doc_id, h from few) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from once a join once b on a.h = b.h and a.doc_id < b.doc_id",
+    "p4_shares": f"{_WINDOWS}, parts as (select doc_id, least({SPAN}, coalesce(lead(k) over (partition by doc_id order by k) - k, {SPAN})) as n from few) select doc_id, length(any_value(text)) as n_chars, cast(sum(n) as bigint) as shared_chars from parts join documents using (doc_id) group by doc_id",
+}

@@ -27,31 +27,43 @@ def held_back(texts: DataFrame, ids: list[str] | DataFrame = HELD_OUT, column: s
 def ngram_counts(texts: DataFrame, least: int = NGRAMS[0], most: int = NGRAMS[1], min_freq: int = 1, column: str = "text") -> DataFrame:
     """n, phrase and freq of all runs of ``least`` to ``most`` words within a row, of at least ``min_freq``.
 
-    Words are lower-cased; white space and marks between them don't matter. With a ``min_freq`` rows are
-    cut at words too rare to be in any such run, before runs are formed: the same result from far fewer
-    runs. Null texts, and texts of fewer words, have none.
+    Words are lower-cased; white space and marks between them don't matter. With a ``min_freq`` longer runs are
+    formed only where all pairs of neighbours are frequent, as they must be in a frequent run: the same
+    counts from a small part of the runs. Null texts, and texts of fewer words, have none.
     """
     rows = texts.select(T.words(column).alias("w")).where(F.size("w") >= least)
-    if min_freq > 1:
-        rows = _cut_at_rare(rows, min_freq, least)
-    grams = rows.select(F.explode(runs(F.col("w"), least, most)).alias("g")).groupBy("g.n", "g.phrase").agg(F.count("*").alias("freq"))
-    return grams.where(F.col("freq") >= min_freq) if min_freq > 1 else grams
+    if min_freq <= 1 or least < 2:
+        return _counted(rows, least, most).where(F.col("freq") >= min_freq)
+    pairs = _pairs(rows)
+    frequent = written(pairs.groupBy("a", "b").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq), "pairs")
+    longer = _counted(_joined(pairs, frequent.select("a", "b"), max(3, least)), max(3, least), most).where(F.col("freq") >= min_freq)
+    if least > 2:
+        return longer
+    return frequent.select(F.lit(2).alias("n"), F.concat_ws(" ", "a", "b").alias("phrase"), "freq").unionByName(longer)
 
 
-#: A frequent vocabulary up to so many words goes to all tasks; beyond it rows aren't cut.
-_MOST_WORDS = 200_000
+def _counted(rows: DataFrame, least: int, most: int) -> DataFrame:
+    return rows.select(F.explode(runs(F.col("w"), least, most)).alias("g")).groupBy("g.n", "g.phrase").agg(F.count("*").alias("freq"))
 
 
-def _cut_at_rare(rows: DataFrame, min_freq: int, least: int) -> DataFrame:
-    """Rows of words split where a word of fewer than ``min_freq`` occurrences stands, in parts of ``least`` words or more."""
-    frequent = written(rows.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= min_freq).select("x"), "vocabulary")
-    if frequent.count() > _MOST_WORDS:
-        return rows
-    ids = rows.select("w", F.monotonically_increasing_id().alias("id")).select("id", F.posexplode("w").alias("p", "x"))
-    kept = ids.join(F.broadcast(frequent), "x")
-    # within a row, a word's place less its rank among those kept is the same for all words of a part
+#: Frequent pairs up to so many go to all tasks; more are joined by a shuffle.
+_MOST_PAIRS = 500_000
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """id of the row, p and a pair of neighbours at p."""
+    inner = F.size("w") - 1
+    both = F.arrays_zip(F.slice("w", F.lit(1), inner).alias("a"), F.slice("w", F.lit(2), inner).alias("b"))
+    return rows.select("w", F.monotonically_increasing_id().alias("id")).select("id", F.posexplode(both).alias("p", "s")).select("id", "p", "s.a", "s.b")
+
+
+def _joined(pairs: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
+    """Parts of rows, of ``least`` words or more, in which all pairs are frequent."""
+    kept = pairs.join(F.broadcast(frequent) if frequent.count() <= _MOST_PAIRS else frequent, ["a", "b"])
+    # a pair's place less its rank among the row's kept pairs is the same for all pairs of a part
     part = F.col("p") - F.row_number().over(Window.partitionBy("id").orderBy("p"))
-    return kept.withColumn("part", part).groupBy("id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s.x).alias("w")).where(F.size("w") >= least).select("w")
+    parts = kept.withColumn("part", part).groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("p", "a", "b"))).alias("s")).where(F.size("s") >= least - 1)
+    return parts.select(F.concat(F.transform("s", lambda x: x.a), F.array(F.element_at("s", -1).b)).alias("w"))
 
 
 def distinct_by_length(grams: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ texts that still have shared windows; no group is ever gathered in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +47,32 @@ def _segments(text: str, marks: np.ndarray | None, before: int, after: int, leas
     return [(a, codes[a:b]) for a, b in zip(first[new].tolist(), end[last].tolist(), strict=True) if b - a >= least]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], before: int, after: int, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Code points of many segments end to end; of each position the segment's id, start in its text, first and end."""
+@dataclass
+class _Block:
+    """Code points of many segments end to end. Of each position: its segment. Of each segment: its text's id and
+    hash, its end in the block, and what a position in the block has to be shifted by for its place in the text."""
+
+    codes: np.ndarray
+    segment: np.ndarray
+    ids: np.ndarray
+    tags: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    shift: np.ndarray
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], before: int, after: int, least: int) -> Iterator[_Block]:
+    """A batch has ids, texts and, but for whole texts, marks."""
     ids: list[int] = []
+    tags: list[int] = []
     starts: list[int] = []
     parts: list[np.ndarray] = []
     size = 0
 
-    def flush() -> tuple[np.ndarray, ...]:
+    def flush() -> _Block:
         lens = np.array([len(p) for p in parts])
         ends = lens.cumsum()
-        return np.concatenate(parts), np.repeat(np.array(ids, np.int64), lens), np.repeat(np.array(starts) - (ends - lens), lens), np.repeat(ends - lens, lens), np.repeat(ends, lens)
+        return _Block(np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), lens), np.array(ids, np.int64), np.array(tags, np.uint64).view(np.int64), ends, ends - lens, np.array(starts) - (ends - lens))
 
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -65,32 +82,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], before: int, after: int, least: i
             if text is None or doc is None:
                 continue
             own = None if marks is None else np.asarray(marks[k].values)
+            tag = xxhash.xxh64_intdigest(text) if marks is None else 0
             for start, codes in _segments(text, own, before, after, least):
                 ids.append(doc)
+                tags.append(tag)
                 starts.append(start)
                 parts.append(codes)
                 size += len(codes)
             if size >= _BLOCK:
                 yield flush()
-                ids, starts, parts, size = [], [], [], 0
+                ids, tags, starts, parts, size = [], [], [], [], 0
     if parts:
         yield flush()
 
 
-def _choose(width: int, span: int, before: int, history: bool):
-    """h, doc_id and pos of the chosen windows; with history, its hash too (its own where it has none)."""
+def _choose(width: int, span: int, before: int, extra: str):
+    """h, doc_id and pos of the chosen windows, and as ``extra`` the hash of their text (tag), or of their history (past; one of its own where it has none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, doc, shift, first, ends in _blocks(batches, before, span, span):
-            hashed = Hashed(codes)
+        for block in _blocks(batches, before, span, span):
+            hashed = Hashed(block.codes)
             h = hashed.all(width)
+            ends = block.ends[block.segment]
             at = chosen(h, ends, width, span)
             at = at[at + width <= ends[at]]
-            columns = {"h": h[at].view(np.int64), "doc_id": doc[at], "pos": (at + shift[at]).astype(np.int32)}
-            if history:
+            segment = block.segment[at]
+            pos = at + block.shift[segment]
+            columns = {"h": h[at].view(np.int64), "doc_id": block.ids[segment], "pos": pos.astype(np.int32)}
+            if extra == "tag":
+                columns["tag"] = block.tags[segment]
+            if extra == "past":
                 past = np.r_[np.int64(-1), at[:-1]]
-                has = past >= first[at]
-                own = (doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (at + shift[at]).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+                has = past >= block.first[segment]
+                own = (block.ids[segment].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ pos.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
                 columns["past"] = np.where(has, hashed.at(np.where(has, past, at), at + width), own).view(np.int64)
             yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
@@ -101,14 +125,17 @@ def _every(width: int, before: int, after: int):
     """Two hashes, doc_id, pos and the character before, of every window of ``width`` around the marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, doc, shift, first, ends in _blocks(batches, before, after, width):
-            h1, h2 = Hashed(codes).all(width), Hashed(codes, 1).all(width)
+        for block in _blocks(batches, before, after, width):
+            h1, h2 = Hashed(block.codes).all(width), Hashed(block.codes, 1).all(width)
             at = np.arange(len(h1))
+            segment = block.segment[: len(at)]
             # a segment begins one character early, so that each window but a text's first has one before it
-            at = at[(at + width <= ends[: len(at)]) & ((at > first[: len(at)]) | (shift[: len(at)] == -first[: len(at)]))]
-            pos = (at + shift[at]).astype(np.int32)
-            prev = np.where(pos == 0, np.int32(-1), codes[np.maximum(at - 1, 0)].astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"h1": pa.array(h1[at].view(np.int64)), "h2": pa.array(h2[at].view(np.int64)), "doc_id": pa.array(doc[at]), "pos": pa.array(pos), "prev": pa.array(prev)})
+            first = block.first[segment]
+            at = at[(at + width <= block.ends[segment]) & ((at > first) | (block.shift[segment] == -first))]
+            segment = block.segment[at]
+            pos = (at + block.shift[segment]).astype(np.int32)
+            prev = np.where(pos == 0, np.int32(-1), block.codes[np.maximum(at - 1, 0)].astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"h1": pa.array(h1[at].view(np.int64)), "h2": pa.array(h2[at].view(np.int64)), "doc_id": pa.array(block.ids[segment]), "pos": pa.array(pos), "prev": pa.array(prev)})
 
     return run
 
@@ -128,23 +155,22 @@ class _Shared:
         self.span, self.half = span, large
         long = documents.select("doc_id", "text").where(F.length("text") >= span)
         # copies: doc_id and the smallest doc_id with the same text, of texts that stand more than once
-        keyed = written(long.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"), F.xxhash64("text").alias("t")), "texts")
+        keyed = written(long.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key")), "texts")
         many = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
         self.copies = written(keyed.join(many, "key").select("doc_id", "rep"), "copies")
         others = self.copies.where("doc_id != rep").select("doc_id")
 
-        # windows of the first level, of all texts; copies agree in t and so don't count as others
-        rows = long.select("doc_id", "text").mapInArrow(_choose(small, span, 0, False), "h long, doc_id long, pos int")
-        rows = written(rows, "windows")
-        keys = rows.join(keyed.select("doc_id", "t"), "doc_id").groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a != b")
+        # windows of the first level, of all texts; copies agree in their tag and so don't count as others
+        rows = written(long.mapInArrow(_choose(small, span, 0, "tag"), "h long, doc_id long, pos int, tag long"), "windows")
+        keys = rows.groupBy("h").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a != b")
         marks = _marks(rows, keys).join(others, "doc_id", "left_anti")
         active = written(long.join(marks, "doc_id"), "active")
 
-        rows = written(active.mapInArrow(_choose(middle, span, span - small, False), "h long, doc_id long, pos int"), "windows")
+        rows = written(active.mapInArrow(_choose(middle, span, span - small, ""), "h long, doc_id long, pos int"), "windows")
         keys = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b")
         active = written(active.drop("marks").join(_marks(rows, keys), "doc_id"), "active")
 
-        rows = written(active.mapInArrow(_choose(large, span, span - middle, True), "h long, doc_id long, pos int, past long"), "windows")
+        rows = written(active.mapInArrow(_choose(large, span, span - middle, "past"), "h long, doc_id long, pos int, past long"), "windows")
         keys = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("past").alias("c"), F.max("past").alias("d")).where("a != b")
         self.active, self.rows, self.keys = active.drop("marks"), rows, written(keys, "keys")
 

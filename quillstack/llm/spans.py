@@ -97,7 +97,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], before: int, after: int, least: i
 
 
 def _choose(width: int, span: int, before: int, extra: str):
-    """h, doc_id and pos of the chosen windows, and as ``extra`` the hash of their text (tag), or of their history (past; one of its own where it has none)."""
+    """h, doc_id and pos of the chosen windows, and as ``extra`` the hash of their text (tag), or (past) those of the
+    stretches to the windows chosen before and after, one of its own where there is none, and the place of the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, before, span, span):
@@ -112,10 +113,14 @@ def _choose(width: int, span: int, before: int, extra: str):
             if extra == "tag":
                 columns["tag"] = block.tags[segment]
             if extra == "past":
-                past = np.r_[np.int64(-1), at[:-1]]
-                has = past >= block.first[segment]
+                n = len(at)
                 own = (block.ids[segment].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ pos.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-                columns["past"] = np.where(has, hashed.at(np.where(has, past, at), at + width), own).view(np.int64)
+                inner = np.r_[segment[1:] == segment[:-1], False] if n else np.zeros(0, bool)
+                after = np.where(inner, np.r_[at[1:], 0][:n], at)
+                before_ = np.where(np.r_[False, inner[:-1]][:n], np.r_[0, at[:-1]][:n], at)
+                columns["past"] = np.where(before_ < at, hashed.at(before_, at + width), own).view(np.int64)
+                columns["next"] = np.where(after > at, hashed.at(at, after + width), own).view(np.int64)
+                columns["prev_pos"] = (pos - (at - before_)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     return run
@@ -170,14 +175,18 @@ class _Shared:
         keys = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b")
         active = written(active.drop("marks").join(_marks(rows, keys), "doc_id"), "active")
 
-        rows = written(active.mapInArrow(_choose(large, span, span - middle, "past"), "h long, doc_id long, pos int, past long"), "windows")
-        keys = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("past").alias("c"), F.max("past").alias("d")).where("a != b")
+        rows = written(active.mapInArrow(_choose(large, span, span - middle, "past"), "h long, doc_id long, pos int, past long, next long, prev_pos int"), "windows")
+        keys = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), *[f(c).alias(f"{c}_{k}") for c in ("past", "next") for k, f in enumerate((F.min, F.max))]).where("a != b")
         self.active, self.rows, self.keys = active.drop("marks"), rows, written(keys, "keys")
 
-    def texts(self, everywhere: bool) -> DataFrame:
-        """Texts with the positions of windows where a span may begin, or of all shared windows."""
-        keys = self.keys if everywhere else self.keys.where("c != d")
-        return self.active.join(_marks(self.rows, keys), "doc_id")
+    def begins(self) -> DataFrame:
+        """Texts with the windows where a span may begin: their histories differ."""
+        return self.active.join(_marks(self.rows, self.keys.where("past_0 != past_1")), "doc_id")
+
+    def borders(self) -> DataFrame:
+        """doc_id, pos, prev_pos of all shared windows, and whether all texts agree on what is to either side of it."""
+        agree = (F.col("past_0") == F.col("past_1")) & (F.col("next_0") == F.col("next_1"))
+        return self.rows.select("h", "doc_id", "pos", "prev_pos").join(self.keys.select("h", agree.alias("agree")), "h").drop("h")
 
 
 _WINDOW = "h1 long, h2 long, doc_id long, pos int, prev int"
@@ -190,7 +199,7 @@ def shared_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
     copies are paired with each other and with all that share with one of them. Ids must be unique.
     """
     shared = _Shared(documents, span)
-    rows = written(shared.texts(False).mapInArrow(_every(span, span - shared.half + 1, span), _WINDOW), "starts")
+    rows = written(shared.begins().mapInArrow(_every(span, span - shared.half + 1, span), _WINDOW), "starts")
     keys = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("prev").alias("c"), F.max("prev").alias("d")).where("a != b and (c != d or c = -1)").select("h1", "h2")
     near = rows.join(keys, ["h1", "h2"])
     left = near.select("h1", "h2", F.col("doc_id").alias("a"), F.col("prev").alias("prev_a"))
@@ -202,18 +211,49 @@ def shared_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return wide.unionByName(same).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
+def _covered(span: int, half: int):
+    """Characters in shared spans of a text, from its shared windows and the hashed places that stand elsewhere too.
+
+    Near a window on whose surroundings texts disagree all places were hashed. Any other place up to a window is
+    shared by all texts with that window: they agree on everything from the window before to the one after.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = []
+            for windows, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                size = max(w["pos"] for w in windows) + 1
+                hashed, whole = np.zeros(size, bool), np.zeros(size, bool)
+                for w in windows:
+                    if w["agree"]:
+                        whole[w["prev_pos"] + 1 : w["pos"] + 1] = True
+                    else:
+                        hashed[max(0, w["pos"] - half) : w["pos"] + 1] = True
+                whole &= ~hashed
+                found = np.array(places or [], np.int64)
+                found = found[found < size]
+                whole[found[hashed[found]]] = True
+                at = np.flatnonzero(whole)
+                some.append(int(np.minimum(np.diff(at, append=at[-1] + span), span).sum()) if len(at) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(some, pa.int64())], ["doc_id", "some"])
+
+    return run
+
+
 def shared_lengths(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_chars and shared_chars: characters that lie in a span of ``span`` or more that stands elsewhere too.
 
-    One row for each document with such a span. A text with a copy is shared as a whole.
+    One row for each document with such a span. A text with a copy is shared as a whole. Only places near the
+    borders of shared stretches are hashed, so rows follow the number of stretches and not their length.
     """
     shared = _Shared(documents, span)
-    rows = written(shared.texts(True).mapInArrow(_every(span, span - shared.half + 1, span), _WINDOW), "starts")
+    borders = written(shared.borders(), "borders")
+    marks = borders.where("not agree").groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
+    rows = written(shared.active.join(marks, "doc_id").mapInArrow(_every(span, span - shared.half + 1, span), _WINDOW).drop("prev"), "starts")
     keys = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("h1", "h2")
-    starts = rows.join(keys, ["h1", "h2"]).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    # neighbours nearer than a span overlap: each start adds what lies before the next one
-    length = F.expr(f"aggregate(transform(sequence(1, size(p)), i -> if(i = size(p), {span}, least({span}, element_at(p, i + 1) - element_at(p, i)))), 0L, (s, x) -> s + x)")
-    own = starts.select("doc_id", length.alias("some"))
+    places = rows.join(keys, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    windows = borders.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "prev_pos", "agree")).alias("windows"))
+    own = windows.join(places, "doc_id", "left").select("doc_id", "windows", "places").mapInArrow(_covered(span, shared.half), "doc_id long, some long").where("some > 0")
     own = shared.copies.join(own.withColumnRenamed("doc_id", "rep"), "rep", "full").select(F.coalesce("doc_id", "rep").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.col("some")).alias("some"))
     sizes = documents.select("doc_id", F.length("text").cast("long").alias("n_chars"))
     return sizes.join(own, "doc_id").select("doc_id", "n_chars", F.coalesce("some", "n_chars").alias("shared_chars"))

@@ -12,11 +12,34 @@ def _chars(word: Column) -> Column:
     return F.when(F.length(word) > 0, F.split(word, "")).otherwise(F.array().cast("array<string>"))
 
 
+def title_like(word: Column) -> Column:
+    """Whether a word is an upper-case letter and a rest in lower case, and comes back from that."""
+    low = F.lower(word)
+    return word.rlike(r"^\p{Lu}") & (word == F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 30)))
+
+
+def all_upper(word: Column) -> Column:
+    """Whether a word is upper-case letters alone, and comes back from that (reversed, since upper(lower(x)) would be simplified to upper(x))."""
+    return word.rlike(r"^\p{Lu}+$") & (F.reverse(word) == F.upper(F.reverse(F.lower(word))))
+
+
+def comes_back(word: Column) -> Column:
+    """Whether a word is what its lower case and its caps give."""
+    same = lambda c: (c == F.lower(c)) | (c.rlike(r"^\p{Lu}") & (c == F.upper(F.reverse(F.lower(c)))))
+    return (word == F.lower(word)) | title_like(word) | all_upper(word) | ((F.length(word) == F.length(F.lower(word))) & F.forall(_chars(word), same))
+
+
 def encoded_caps(word: Column) -> Column:
-    """"A" for a word that is lower case; else a bit for each character (1: upper case), first bit highest, padded to whole sixes."""
-    bits = F.rpad(F.array_join(F.transform(_chars(word), lambda c: F.when(c.rlike(r"^\p{Lu}"), "1").otherwise("0")), ""), (F.ceil(F.length(word) / 6) * 6).cast("int"), F.lit("0"))
-    sixes = F.transform(F.sequence(F.lit(0), F.ceil(F.length(word) / 6).cast("int") - 1), lambda k: F.substring(F.lit(BASE64), F.conv(F.substring(bits, k * 6 + 1, F.lit(6)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(word == F.lower(word), "A").otherwise(F.array_join(sixes, ""))
+    """"A" for a word that is lower case; else a bit for each character (1: upper case), first bit highest, padded to whole sixes.
+
+    Most other words are like a title or all upper case; only the rest are gone through letter by letter.
+    """
+    size = F.length(word)
+    bits = F.rpad(F.array_join(F.transform(_chars(word), lambda c: F.when(c.rlike(r"^\p{Lu}"), "1").otherwise("0")), ""), (F.ceil(size / 6) * 6).cast("int"), F.lit("0"))
+    sixes = F.transform(F.sequence(F.lit(0), F.ceil(size / 6).cast("int") - 1), lambda k: F.substring(F.lit(BASE64), F.conv(F.substring(bits, k * 6 + 1, F.lit(6)), 2, 10).cast("int") + 1, F.lit(1)))
+    title = F.rpad(F.lit("g"), F.ceil(size / 6).cast("int"), F.lit("A"))
+    ones = F.concat(F.repeat(F.lit("_"), F.floor(size / 6).cast("int")), F.substring(F.lit("gw48-"), (size % 6).cast("int"), F.when(size % 6 > 0, 1).otherwise(0)))
+    return F.when(word == F.lower(word), "A").when(title_like(word), title).when(all_upper(word), ones).otherwise(F.array_join(sixes, ""))
 
 
 def decoded_caps(lower: Column, caps: Column) -> Column:

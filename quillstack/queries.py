@@ -576,6 +576,6 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     """Encoding statistics by language: tokens by tier, words without entry, bytes before and after, and their ratio."""
     docs = _docs(s, d, "doc_id", "text", "lang")
     entries = written(dictionary.words_dictionary(_counts(s, d)), "dictionary")
-    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("src_bytes"))
-    return codec.word_stats(docs, entries, "lang").join(sizes, F.col("lang").eqNullSafe(sizes.lang)).drop(sizes.lang).withColumn("ratio", F.round(F.col("src_bytes") / F.col("binary_bytes"), 4))
+    sizes = docs.groupBy(F.col("lang").alias("own")).agg(F.sum(F.octet_length("text").cast("long")).alias("src_bytes"))
+    return codec.word_stats(docs, entries, "lang").join(sizes, F.col("lang").eqNullSafe(F.col("own"))).drop("own").withColumn("ratio", F.round(F.col("src_bytes") / F.col("binary_bytes"), 4))
 

@@ -27,8 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder; what is there on a file system of this machine goes when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_clear)
+    _MADE.append(path)
+    return path
+
+
+def _clear() -> None:
+    for path in _MADE:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

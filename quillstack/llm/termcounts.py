@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import new_path, table
+from .heavy import BLANKS
 
+#: White space at either end.
+_EDGES = f"^{BLANKS}+|{BLANKS}+$"
 _RECORDS = "id string, term string, weight long"
 _COUNTS = "term string, occurrences long, records long"
 
@@ -97,7 +100,7 @@ def corpus_tokens(stats: DataFrame) -> int:
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "word_library", "id", "surface", "frequency", "created_at")
-    plain = words.select("id", F.lower(F.trim(F.col("surface"))).alias("term"), F.col("frequency").alias("weight"), F.col("created_at").alias("order")).where("term != ''")
+    plain = words.select("id", F.lower(F.regexp_replace("surface", _EDGES, "")).alias("term"), F.col("frequency").alias("weight"), F.col("created_at").alias("order")).where("term != ''")
     store = TermStore(spark, new_path(spark, "terms"))
     # the table comes as two loads, as it would day by day: what the second delivers again moves nothing
     span = plain.agg(F.min("order").cast("double"), F.max("order").cast("double")).first()
@@ -117,11 +120,11 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _counts(spark, folder).select(F.col("term").alias("surface"), "occurrences", "records")
 
 
-_TERMS = """
-  with once as (
-    select lower(trim(surface)) as surface, coalesce(frequency, 0) as n from word_library
-    where id is not null and trim(surface) <> ''
-    qualify row_number() over (partition by id order by created_at desc nulls last, lower(trim(surface)) desc, coalesce(frequency, 0) desc) = 1),
+_TERMS = f"""
+  with plain as (select id, lower(regexp_replace(surface, '{_EDGES}', '', 'g')) as surface, coalesce(frequency, 0) as n, created_at from word_library),
+  once as (
+    select surface, n from plain where id is not null and surface <> ''
+    qualify row_number() over (partition by id order by created_at desc nulls last, surface desc, n desc) = 1),
   counts as (select surface, cast(sum(n) as bigint) as occurrences, count(*) as records from once group by surface),
   videos as (
     select coalesce(token_count, 0) as n from corpus_stats

@@ -26,6 +26,8 @@ PHRASE = 12
 SEGMENT_WORDS, QUERY_BYTES = 200_000, 16 << 20
 _INDEX = "n_words long, doc_ids array<long>, ends array<int>, terms array<string>, counts array<int>, postings binary"
 _BLOCK = 1_000_000
+#: Places looked at closely at once by the proximity search.
+_NEAR_ROWS = 10_000
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -125,21 +127,52 @@ class Segment:
             keep = start + width <= self.ends[doc] if len(doc) else doc.astype(bool)
             yield fine[row[keep]], start[keep]
 
-    def near(self, terms: np.ndarray, reach: int) -> np.ndarray:
-        """Positions of the rarest of ``terms`` with all the others within ``reach`` words in the same document."""
-        if not len(terms) or (terms < 0).any():
-            return np.zeros(0, np.int64)
-        order = terms[np.argsort(self.counts[terms], kind="stable")]
-        at = self.positions[self.heads[order[0]] : self.heads[order[0]] + self.counts[order[0]]]
-        doc = np.searchsorted(self.ends, at, "right")
-        low = np.maximum(at - reach, np.where(doc > 0, self.ends[doc - 1], 0))
-        high = np.minimum(at + reach, self.ends[doc] - 1)
-        for t in order[1:]:
-            own = self.positions[self.heads[t] : self.heads[t] + self.counts[t]]
-            k = np.searchsorted(own, low)
-            keep = (k < len(own)) & (own[np.minimum(k, len(own) - 1)] <= high)
-            at, low, high = at[keep], low[keep], high[keep]
-        return at
+    def near(self, sets: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ``sets`` (distinct term codes, one width) and positions in a document that has them near, in bounded parts.
+
+        Near: all within ``reach`` words of one occurrence of one of them. The term rarest here only says where to look.
+        """
+        fine = np.flatnonzero((sets >= 0).all(1))
+        if not len(fine):
+            return
+        sets = sets[fine]
+        sets = np.take_along_axis(sets, np.argsort(self.counts[sets], axis=1, kind="stable"), 1)
+        keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.n + self.positions
+        sizes = self.counts[sets[:, 0]]
+        for part in np.split(np.arange(len(fine)), np.flatnonzero(np.diff(sizes.cumsum() // _BLOCK)) + 1):
+            row = np.repeat(part, sizes[part])
+            inner = np.arange(len(row)) - np.repeat(sizes[part].cumsum() - sizes[part], sizes[part])
+            at = self.positions[self.heads[sets[row, 0]] + inner]
+            doc = np.searchsorted(self.ends, at, "right")
+            low = np.maximum(at - 2 * reach, np.where(doc > 0, self.ends[doc - 1], 0))
+            high = np.minimum(at + 2 * reach, self.ends[doc] - 1)
+            for k in range(1, sets.shape[1]):
+                first = sets[row, k] * self.n
+                next_ = np.searchsorted(keys, first + low)
+                keep = keys[np.minimum(next_, self.n - 1)] <= first + high
+                keep &= next_ < self.n
+                row, at, low, high = row[keep], at[keep], low[keep], high[keep]
+                if not len(row):
+                    break
+            for k in range(0, len(row), _NEAR_ROWS):
+                some = slice(k, k + _NEAR_ROWS)
+                found = self._together(sets[row[some]], at[some], low[some], high[some], reach)
+                yield fine[row[some][found]], at[some][found]
+
+    def _together(self, sets: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, reach: int) -> np.ndarray:
+        """Whether some term between ``low`` and ``high`` has all of its set within ``reach``."""
+        places = at[:, None] + np.arange(-2 * reach, 2 * reach + 1)
+        inside = (places >= low[:, None]) & (places <= high[:, None])
+        here = np.where(inside, self.term_at[np.clip(places, 0, self.n - 1)], -1)
+        every, some = np.ones(here.shape, bool), np.zeros(here.shape, bool)
+        for k in range(sets.shape[1]):
+            own = here == sets[:, k : k + 1]
+            some |= own
+            # own occurrences up to each place, with room for those out of reach
+            upto = np.pad(own.cumsum(1, dtype=np.int32), ((0, 0), (reach + 1, 0)))
+            upto = np.pad(upto, ((0, 0), (0, reach)), mode="edge")
+            every &= upto[:, 2 * reach + 1 :] > upto[:, : here.shape[1]]
+        return (every & some).any(1)
 
     def docs(self, positions: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.ends, positions, "right")]
@@ -201,23 +234,20 @@ def _search(index: DataFrame, items: DataFrame, find) -> DataFrame:
     return out.distinct() if out is not None else index.sparkSession.createDataFrame([], "doc_id long, item_id long")
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, width: int = PHRASE) -> DataFrame:
-    """doc_id and item_id, once each, of which ``width`` consecutive words of the item are consecutive in the document.
-
-    ``items`` has item_id and text. Null texts and items of fewer words match nothing.
-    """
+def _phrases_found(index: DataFrame, items: DataFrame, prepared, look) -> DataFrame:
+    """doc_id and item_id, once each, where ``look(segment, phrases)`` finds a phrase that ``prepared(block)`` has for the item."""
     cache: dict[int, Queries] = {}
 
     def find(segment: Segment, block: list) -> tuple[np.ndarray, np.ndarray]:
         if id(block) not in cache:
             cache.clear()
-            cache[id(block)] = _queries(block, width)
+            cache[id(block)] = prepared(block)
         q = cache[id(block)]
         order = np.argsort(q.of, kind="stable")
         first = np.searchsorted(q.of[order], np.arange(len(q.phrases) + 1))
         docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         here = segment.codes(q.words)
-        for row, start in segment.starts_of(here[q.phrases] if len(here) else q.phrases):
+        for row, start in look(segment, here[q.phrases] if len(here) else q.phrases):
             pairs = pd.DataFrame({"doc": segment.docs(start), "row": row}).drop_duplicates()
             many = first[pairs.row + 1] - first[pairs.row]
             docs.append(np.repeat(pairs.doc.to_numpy(), many))
@@ -228,26 +258,42 @@ def phrase_matches(index: DataFrame, items: DataFrame, width: int = PHRASE) -> D
     return _search(index, items, find)
 
 
-def near_matches(index: DataFrame, items: DataFrame, terms: int = 8, reach: int = 24) -> DataFrame:
-    """doc_id and item_id of which the item's ``terms`` distinct words rarest in the segment stand near each other.
+def phrase_matches(index: DataFrame, items: DataFrame, width: int = PHRASE) -> DataFrame:
+    """doc_id and item_id, once each, of which ``width`` consecutive words of the item are consecutive in the document.
 
-    Near means within ``reach`` words of one occurrence of the rarest. Items with fewer distinct words match nothing.
+    ``items`` has item_id and text. Null texts and items of fewer words match nothing.
     """
+    return _phrases_found(index, items, lambda block: _queries(block, width), lambda segment, phrases: segment.starts_of(phrases))
 
-    def find(segment: Segment, block: list) -> tuple[np.ndarray, np.ndarray]:
-        docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for item, own in block:
-            here = segment.codes(sorted(set(own)))
-            here = here[here >= 0]
-            if len(set(own)) < terms or len(here) < terms:
-                continue
-            rarest = here[np.argsort(segment.counts[here], kind="stable")[:terms]]
-            got = np.unique(segment.docs(segment.near(rarest, reach)))
-            docs.append(got)
-            found.append(np.full(len(got), item))
-        return np.concatenate(docs), np.concatenate(found)
 
-    return _search(index, items, find)
+def _windows(items: list[tuple[int, list[str]]], terms: int) -> Queries:
+    """The distinct words of each shortest run of an item that has ``terms`` of them, as ``phrases`` of codes."""
+    words = sorted({w for _, own in items for w in own})
+    code = {w: k for k, w in enumerate(words)}
+    distinct: dict[tuple[int, ...], int] = {}
+    pairs: set[tuple[int, int]] = set()
+    for item, own in items:
+        seen: dict[int, int] = {}  # words of the run that ends here, the one seen longest ago first
+        for w in own:
+            seen.pop(code[w], None)
+            seen[code[w]] = 0
+            if len(seen) > terms:
+                del seen[next(iter(seen))]
+            if len(seen) == terms:
+                pairs.add((item, distinct.setdefault(tuple(sorted(seen)), len(distinct))))
+    phrases = np.array(list(distinct), np.int64).reshape(-1, terms)
+    every = sorted(pairs)
+    return Queries(words, np.arange(len(words)), phrases, np.array([i for i, _ in every], np.int64), np.array([k for _, k in every], np.int64), [])
+
+
+def near_matches(index: DataFrame, items: DataFrame, terms: int = 8, reach: int = 24) -> DataFrame:
+    """doc_id and item_id of which the words of a run of the item stand near each other in the document.
+
+    A run is any of the item's with ``terms`` distinct words, as short as can be. Near means all within ``reach`` words
+    of one occurrence of one of them, so each pair depends on its document and item alone. Items with fewer distinct
+    words match nothing.
+    """
+    return _phrases_found(index, items, lambda block: _windows(block, terms), lambda segment, sets: segment.near(sets, reach))
 
 
 def leaked(documents: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
@@ -279,7 +325,7 @@ def p5_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_near(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents in which an item's rarest words stand near each other, in whatever order."""
+    """Documents in which the words of a run of an item stand near each other, in whatever order."""
     return _leaks(spark, folder, near_matches).select("doc_id", "item_id")
 
 

@@ -259,6 +259,41 @@ def test_leaks(spark):
     assert near and all(k not in (900, 901) for k, _ in near)
 
 
+def near_by_hand(doc, item, terms, reach):
+    sets = set()
+    for k in range(len(item)):
+        own = []
+        for w in item[k:]:
+            own += [w] * (w not in own)
+            if len(own) == terms:
+                sets.add(frozenset(own))
+                break
+    return any(own <= set(doc[max(0, k - reach) : k + reach + 1]) for own in sets for k, w in enumerate(doc) if w in own)
+
+
+@pytest.mark.parametrize("rows_a_segment", [1, 7, 10_000])
+def test_near_is_of_document_and_item_alone(spark, rows_a_segment):
+    from quillstack.plans.scratch import new_path
+
+    rng = random.Random(4)
+    line = lambda n: [rng.choice("the of a kitto mara sol and in or up by at".split()) for _ in range(n)]
+    items = [(k, line(rng.randrange(30))) for k in range(25)] + [(50, [f"x{k}" for k in range(40)])]
+    # a passage of item 50, in another order; all its other words stand in another document
+    docs = [(k, line(rng.randrange(60))) for k in range(80)] + [(90, line(9) + [f"x{k}" for k in (17, 12, 15, 14, 13, 16)] + line(9)), (91, [f"x{k}" for k in range(40) if not 12 <= k <= 17])]
+    want = {(d, i) for d, x in docs for i, y in items if near_by_hand(x, y, 6, 5)}
+    assert (90, 50) in want and 100 < len(want) < len(docs) * len(items) // 2
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_segment)
+    try:
+        path = new_path(spark, "index")
+        leaks.build_index(spark.createDataFrame([(k, " ".join(x)) for k, x in docs], "doc_id long, text string").coalesce(1), path)
+        index = spark.read.schema(leaks._INDEX).parquet(path)
+        got = [(r.doc_id, r.item_id) for r in leaks.near_matches(index, spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string"), terms=6, reach=5).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 1 << 34)))
 def test_packed_numbers_come_back(values):

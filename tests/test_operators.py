@@ -138,6 +138,21 @@ def test_encoding_of_tables(spark, monkeypatch):
     assert codec.encoded(docs.limit(0), entries).count() == 0
 
 
+@pytest.mark.parametrize("binary", [False, True])
+def test_large_dictionaries_decode_the_same(spark, monkeypatch, binary):
+    docs = spark.createDataFrame([*enumerate(PAYLOADS), (None, "You know it")], "doc_id long, text string")
+    entries = spark.createDataFrame(list(ENTRIES.items()), "surface string, base64_id string")
+    rows = [(r.doc_id, r.payload) for r in codec.encoded(docs, entries, binary=binary).collect()]
+    whole = next(p for _, p in rows if p is not None and len(p) > 20)
+    rows += [(900, whole[:-1]), (901, whole[:2]), (902, whole[:20] + whole[9:]), (903, whole + (b"\x7f\x3f" if binary else "|zz")), (904, None)]
+    streams = spark.createDataFrame(rows, f"doc_id long, payload {'binary' if binary else 'string'}")
+    key = lambda r: tuple(map(str, r))
+    small = [sorted(codec.decoded(streams, entries, binary).collect(), key=key), sorted(codec.round_trip(docs, entries, binary).collect(), key=key)]
+    monkeypatch.setattr(codec, "MOST_SENT", 3)
+    assert [sorted(codec.decoded(streams, entries, binary).collect(), key=key), sorted(codec.round_trip(docs, entries, binary).collect(), key=key)] == small
+    assert any(r.error for r in small[0]) and sum(r.text is not None for r in small[0]) > 5
+
+
 def test_words_by_joins_are_the_same_stream(spark):
     words = {k: v for k, v in ENTRIES.items() if " " not in k or k == " "}
     entries = spark.createDataFrame([(s, i, len(i) - 1) for s, i in words.items()], "surface string, base64_id string, tier int")

@@ -25,13 +25,13 @@ def role_of(pos: Column) -> Column:
     return out
 
 
-def lemmas(surfaces: DataFrame, analysed: DataFrame | None = None, most: int = 100_000) -> DataFrame:
-    """lemma, frequency, pos_tag, role, surface (the most frequent) and surfaces of the ``most`` most frequent surfaces.
+def lemmas(surfaces: DataFrame, analysed: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """lemma, frequency, pos_tag, role, surface (the most frequent) and surfaces of all surfaces, or the ``most`` most frequent.
 
     ``surfaces`` has surface and freq, ``analysed`` (surface, lemma, pos) what an analyser says of them; without
     it a surface is its own lemma. Only lemmas of letters alone are kept.
     """
-    few = surfaces.orderBy(F.desc("freq"), F.asc("surface")).limit(most)
+    few = surfaces if most is None else surfaces.orderBy(F.desc("freq"), F.asc("surface")).limit(most)
     rows = few.withColumn("lemma", F.lower("surface")).withColumn("pos", F.lit(None).cast("string")) if analysed is None else few.join(analysed.select("surface", F.lower("lemma").alias("lemma"), "pos"), "surface")
     first = F.struct((-F.col("freq")).alias("f"), "surface")
     found = rows.where(F.col("surface").rlike(r"^\p{L}+$")).groupBy("lemma").agg(F.sum("freq").alias("frequency"), F.min_by("pos", first).alias("pos_tag"), F.min_by("surface", first).alias("surface"), F.transform(F.array_sort(F.collect_list(first)), lambda x: x.surface).alias("surfaces"))

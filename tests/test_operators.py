@@ -207,6 +207,13 @@ def test_chunks_in_blocks_are_the_fold(spark, monkeypatch):
     assert {r.video_id for r in got} == {f"v{k}" for k in range(6)}
 
 
+def test_lemmas_of_all_surfaces(spark):
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    surfaces = spark.range(100_050).select(letters.alias("surface"), F.lit(1).alias("freq"))
+    assert library.lemmas(surfaces).count() == 100_050
+    assert library.lemmas(surfaces, most=7).count() == 7
+
+
 def test_upsert_takes_the_latest(spark):
     old = spark.createDataFrame([("a", 1, 5), ("b", 1, None)], "id string, n int, at int")
     new = spark.createDataFrame([("a", 2, 5), ("a", 3, 4), ("c", 9, None)], "id string, n int, at int")

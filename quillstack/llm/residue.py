@@ -108,7 +108,12 @@ error|sorry|oops|fehler|entschuldigung|erreur|désolé|error del servidor|lo sen
 seite nicht gefunden|page introuvable|página no encontrada|something went wrong
 """
 
-_QUOTED = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|“[^”\n]{0,600}”|„[^“”\n]{0,600}[“”]|«[^»\n]{0,600}»|\"[^\"\n]{0,600}\"", re.S)
+#: A fence begins a line and has no other on it; where it ends, plain() puts \x03. One that isn't closed ends before a blank line or a heading.
+_FENCE = re.compile(r"^[^\S\n]*(```|~~~)((?:(?!\1)[^\n])*)$", re.M)
+_UNCLOSED = re.compile(r"\n[^\S\n]*(?=\n)|\n(?=[^\S\n]*#{1,6}[^\S\n])")
+_FENCED = r"(```|~~~)[^\n]*?\1|^ ?(?:```|~~~).*?(?:\x03|\Z)"
+_IN_FENCE = re.compile(_FENCED, re.M | re.S)
+_QUOTED = re.compile(_FENCED + r"|`[^`\n]*`|“[^”\n]{0,600}”|„[^“”\n]{0,600}[“”]|«[^»\n]{0,600}»|\"[^\"\n]{0,600}\"", re.M | re.S)
 _ERROR_JSON = re.compile(r"\{\s*\"(?:error|errors|fault)\"\s*:\s*[\[{]?\s*\{?\s*\"(?:code|status|message|type)\"[^\n]*")
 _FIELD = r"(?:[a-zà-ÿ]+[ _-]){0,4}(?:" + "|".join(FIELD_WORDS) + r")"
 #: Marker without which a text has no such placeholder, and its form.
@@ -160,13 +165,33 @@ def _automaton():
     return made
 
 
+def _ended(text: str) -> str:
+    """The text with \\x03 where its fences end."""
+    marks = list(_FENCE.finditer(text))
+    ends, k = [], 0
+    while k < len(marks):
+        after = next((j for j in range(k + 1, len(marks)) if marks[j][1] == marks[k][1]), None)
+        if after is not None and not marks[after][2].strip("`~ \t\r"):
+            ends.append(marks[after].end())
+            k = after + 1
+            continue
+        stop = _UNCLOSED.search(text, marks[k].end())
+        until = min(stop.start() if stop else len(text), marks[k + 1].start() - 1 if k + 1 < len(marks) else len(text))
+        ends.append(until)
+        k += 1
+    cuts = [0, *ends, len(text)]
+    return "\x03".join(text[a:b].replace("\x03", " ") for a, b in zip(cuts, cuts[1:]))
+
+
 def plain(text: str) -> str:
-    """The text with entities decoded, blank runs as one space or line feed, and what is quoted as NULs.
+    """The text with entities decoded, blank runs as one space or line feed, and \\x03 where fences end.
 
     Decoded angle brackets become \\x01 and \\x02, so that they aren't taken for tags.
     """
     if "&" in text:
         text = html.unescape(re.sub(r"&(?:lt|#60|#x3c);", "\x01", text, flags=re.I).replace("&gt;", "\x02").replace("&#62;", "\x02"))
+    if "```" in text or "~~~" in text:
+        text = _ended(text)
     return _LINES.sub("\n", _BLANK.sub(" ", text.replace("’", "'")))
 
 
@@ -205,7 +230,7 @@ def residue_of(text: str | None) -> list[tuple[int, int, str]]:
 def _inside(text: str, at: int) -> bool:
     """Whether a place lies in a code fence or backticks."""
     head = text[:at]
-    return head.count("```") % 2 == 1 or head[head.rfind("\n") + 1 :].replace("```", "").count("`") % 2 == 1
+    return any(m.start() <= at < m.end() for m in _IN_FENCE.finditer(text) if m[0].lstrip()[0] == "`") or head[head.rfind("\n") + 1 :].replace("```", "").count("`") % 2 == 1
 
 
 def covered(found: list[tuple[int, int, str]]) -> int:

@@ -396,6 +396,16 @@ def test_no_residue(text):
     assert residue.residue_of(text) == []
 
 
+@pytest.mark.parametrize("text", ["```\nlog line\n\nDear {{ name }},", "~~~ x\nlog\n# Head\nDear {{ name }},", "a ``` in the line\nDear {{ name }},", "```\nlog\n\n{\"error\": {\"code\": 5}}", "```\nlog\n\nText\n\n```py\nx\n```\nDear {{ name }},"])
+def test_residue_after_an_unclosed_fence(text):
+    assert residue.residue_of(text)
+
+
+@pytest.mark.parametrize("text", ["```\n{{ a }}\n\nmore", "```py\n{{ a }}\n\n{{ b }}\n```", "   ~~~\n  {{ a }}\n   ~~~\nend", "```a {{ x }}``` and on", "````\n{{ a }}\n````", "```\n{\"error\": {\"code\": 5}}\n\n```"])
+def test_no_residue_in_fences(text):
+    assert residue.residue_of(text) == []
+
+
 def test_residue_of_tables(spark):
     rows = list(enumerate(RESIDUE + FINE)) + [(1000, "word " * 50_000 + "\n\nAccess denied.")]
     assert {r.doc_id for r in residue.residue(docs(spark, rows)).where("n_found > 0").collect()} == {*range(len(RESIDUE)), 1000}

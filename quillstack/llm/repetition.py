@@ -33,7 +33,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_repeated"
 def _pairs(a: np.ndarray, step: int) -> np.ndarray:
     """Codes of (a[i], a[i + step]) in order of first appearance; positions past the end are alone."""
     b = np.full(len(a), -1, np.int64)
-    b[: len(a) - step] = a[step:] if len(a) > step else []
+    b[: max(0, len(a) - step)] = a[step:]
     return pd.factorize(a.astype(np.int64) * (len(a) + 1) + b + 1)[0]
 
 

@@ -72,6 +72,12 @@ def test_repetition_on_the_table(spark):
     assert {r.doc_id for r in repetition.p1_found(spark, FOLDER).collect()} == want
 
 
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "a b c d", "a b c d e f g"])
+def test_repetition_of_few_words(spark, text):
+    got = repetition.document_statistics(docs(spark, [(1, text)])).collect()
+    assert [(r.doc_id, r.n_words, r.n_repeated) for r in got] == [(1, len(text.split()), 0)]
+
+
 def test_trees_are_monotone_and_bounded():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))

@@ -180,6 +180,12 @@ def ngrams_by_length(s, d):
     return ngrams.distinct_by_length(ngrams.ngram_counts(_docs(s, d, "text"), 2, 4))
 
 
+@_query()
+def ngrams_by_every_length(s, d):
+    """As ngrams_by_length, of all lengths that are counted, 2 to 9."""
+    return ngrams.distinct_by_length(ngrams.ngram_counts(_docs(s, d, "text")))
+
+
 @_query("""with chunk_tok as (select video_id, chunk_id, text from chunks where video_id is null or video_id not in (select video_id from eval_items where video_id is not null)),
   tok as (select row_number() over () as doc_id, text from chunk_tok) select count(*) as n_chunks, count(distinct text) as n_texts from tok""")
 def heldout_chunks(s, d):

@@ -3,6 +3,7 @@ from pathlib import Path
 import pytest
 
 from quillstack import queries
+from quillstack.functions import text as T
 
 from .oracle import FOLDER, compare, connection
 
@@ -27,3 +28,14 @@ def test_rows(spark, name):
 def test_flagship(spark):
     rows = queries.flagship(spark, FOLDER).collect()
     assert rows and all(r.n_tokens == r.tier0 + r.tier1 + r.tier2 + r.tier3 + r.oov for r in rows)
+
+
+def test_every_length_by_hand(spark, con):
+    grams = {n: {} for n in range(2, 10)}
+    for (text,) in spark.read.parquet(f"{FOLDER}/documents.parquet").select(T.words("text")).collect():
+        for n in grams:
+            for k in range(len(text or []) - n + 1):
+                key = " ".join(text[k : k + n])
+                grams[n][key] = grams[n].get(key, 0) + 1
+    want = {(n, len(g), sum(g.values())) for n, g in grams.items()}
+    assert {(r.n, r.n_phrases, r.n_occurrences) for r in queries.ngrams_by_every_length(spark, FOLDER).collect()} == want

@@ -338,6 +338,14 @@ def oov_tokens(s, d):
     return few.groupBy("token").agg(F.count("*").alias("freq")).withColumn("oov", caps.encoded_oov(F.col("token")))
 
 
+@_query(f"with {_PIECES}, least as (select surface from v02 where freq >= {MIN_FREQ}) select p.token, count(*) as freq, any_value(case when regexp_matches(p.token, '{_CHANGED}') then 'OOV:A:' || p.token else 'OOV:' || p.caps || ':' || p.low end) as oov from pieces p left join least on least.surface = p.low where least.surface is null group by p.token")
+def oov_tokens_rare(s, d):
+    """All tokens outside of a dictionary with a least frequency, as written out."""
+    known = dictionary.words_dictionary(_counts(s, d)).where(F.col("freq") >= MIN_FREQ)
+    out = codec.word_pieces(_docs(s, d), known).where("base64_id is null")
+    return out.groupBy("token").agg(F.count("*").alias("freq")).withColumn("oov", codec.piece(F.col("token"), F.lit(None).cast("string")))
+
+
 _GROUPED = f"count(*) as n_tokens, {', '.join(f'count(*) filter (tier = {t}) as tier{t}' for t in range(4))}, count(*) filter (base64_id is not null and token <> low) as caps, count(*) filter (base64_id is null) as oov, cast(sum({_SIZE}) as bigint) as binary_bytes"
 
 

@@ -39,3 +39,7 @@ def test_every_length_by_hand(spark, con):
                 grams[n][key] = grams[n].get(key, 0) + 1
     want = {(n, len(g), sum(g.values())) for n, g in grams.items()}
     assert {(r.n, r.n_phrases, r.n_occurrences) for r in queries.ngrams_by_every_length(spark, FOLDER).collect()} == want
+
+
+def test_many_tokens_without_entry(spark):
+    assert queries.oov_tokens_rare(spark, FOLDER).count() > queries.oov_tokens(spark, FOLDER).count() + 100

@@ -1,7 +1,7 @@
 """Tables that cut a lineage: written once to the folder all executors share, then read back.
 
 A written table survives the loss of any executor. Its folder is the one the cluster names in
-``spark.checkpoint.dir``; only where none is named (tests on one machine) a local one is made.
+``spark.checkpoint.dir``; only on a local master, where all tasks share this machine, is one made if none is named.
 """
 
 from __future__ import annotations
@@ -10,39 +10,69 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one is made and set if the session names none."""
+    """The shared folder of this session. Where none is named a local master makes one; any other is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         made = tempfile.mkdtemp(prefix="quillstack-")
         atexit.register(shutil.rmtree, made, True)
         sc.setCheckpointDir(f"file://{made}")
     return sc.getCheckpointDir().rstrip("/")
 
 
-_MADE: list[str] = []
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+#: Application and shared folder -> the folder of this session in it; folders made in open `scratch` blocks.
+_OWN: dict[tuple[str, str], str] = {}
+_BLOCKS: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder; what is there on a file system of this machine goes when the process ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(_clear)
-    _MADE.append(path)
+    """A path below the shared folder. What is there goes when the JVM ends, or before, with the `scratch` block it was made in."""
+    key = spark.sparkContext.applicationId, shared_folder(spark)
+    if key not in _OWN:
+        _OWN[key] = f"{key[1]}/quillstack-{uuid.uuid4().hex}"
+        fs, at = file_system(spark, _OWN[key])
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    path = f"{_OWN[key]}/{name}-{uuid.uuid4().hex}"
+    for block in _BLOCKS:
+        block.append(path)
     return path
 
 
-def _clear() -> None:
-    for path in _MADE:
-        if path.startswith(("/", "file:")):
-            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes all tables written within the block when it ends, on whatever file system: use results inside."""
+    made: list[str] = []
+    _BLOCKS.append(made)
+    try:
+        yield
+    finally:
+        _BLOCKS.remove(made)
+        for path in made:
+            removed(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

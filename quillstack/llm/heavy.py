@@ -103,17 +103,20 @@ def frequent_items(weighted: DataFrame, share_of: int = 200, capacity: int = 200
     ``weighted`` has item (string) and weight (long); null items and weights that are null or not
     positive don't count; no rows give no rows. It is read twice, so it should be a table. If the
     bound on what the summary left out reaches the threshold, the pass is repeated with twice the
-    capacity: an item over the threshold is never lost. ``most`` limits the memory of that.
+    capacity: an item over the threshold is never lost. A share so small that it would take more than
+    ``most`` counters is counted exactly by a shuffle of all items, pre-aggregated; low and high are then the total.
     """
     fine = weighted.where("item is not null and weight > 0")
-    while True:
+    while capacity <= most:
         rows = summary_of(fine, capacity).toPandas()  # at most `capacity` rows
         weight, bound = (int(rows.weight.max()), int(rows.bound.max())) if len(rows) else (0, 0)
         if bound * share_of < weight or weight == 0:
             break
         capacity *= 2
-        if capacity > most:
-            raise ValueError("share_of is too large for the memory allowed")
+    else:
+        weight = fine.agg(F.sum("weight")).first()[0] or 0
+        totals = fine.groupBy("item").agg(F.sum("weight").alias("total"))
+        return totals.where(F.col("total") * share_of >= F.lit(weight)).select("item", F.col("total").alias("low"), F.col("total").alias("high"), "total")
     keep = rows.dropna(subset=["item"])
     keep = keep[keep.high * share_of >= weight]
     spark = weighted.sparkSession
@@ -123,10 +126,9 @@ def frequent_items(weighted: DataFrame, share_of: int = 200, capacity: int = 200
 
 
 def once_by_id(rows: DataFrame, item: str, weight: str) -> DataFrame:
-    """item and weight of each id once, by its latest row; rows without id count each."""
-    fine = rows.where(F.col(item).isNotNull() & (F.col(weight) > 0))
-    with_id = fine.where("id is not null").groupBy("id").agg(F.max(F.struct("created_at", F.col(weight).cast("long").alias("weight"), F.col(item).alias("item"))).alias("r")).select("r.item", "r.weight")
-    return with_id.unionByName(fine.where("id is null").select(F.col(item).alias("item"), F.col(weight).cast("long").alias("weight")))
+    """item and weight of each id once, by its latest row; rows without id are left out: nothing could tell that one is delivered again."""
+    fine = rows.where(F.col("id").isNotNull() & F.col(item).isNotNull() & (F.col(weight) > 0))
+    return fine.groupBy("id").agg(F.max(F.struct("created_at", F.col(weight).cast("long").alias("weight"), F.col(item).alias("item"))).alias("r")).select("r.item", "r.weight")
 
 
 def _forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,15 +146,20 @@ def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
     return frequent_items(_forms(spark, folder)).select(F.col("item").alias("canonical_form"), "total")
 
 
+def p2_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The frequent forms with their exact totals, and whether the bounds of the first pass hold."""
+    return frequent_items(_forms(spark, folder)).select(F.col("item").alias("canonical_form"), "total", (F.col("low") <= F.col("total")).alias("over_low"), (F.col("high") >= F.col("total")).alias("under_high"))
+
+
 _FORMS = rf"""
   with plain as (
     select id, lower(trim(regexp_replace(canonical_form, '{BLANKS}+', ' ', 'g'))) as form, frequency, created_at
     from phrase_library),
   once as (
-    select form, frequency from plain where form <> '' and frequency > 0
-    qualify row_number() over (partition by id order by created_at desc, frequency desc, form desc) = 1),
+    select form, frequency from plain where id is not null and form <> '' and frequency > 0
+    qualify row_number() over (partition by id order by created_at desc nulls last, frequency desc, form desc) = 1),
   totals as (select form as canonical_form, cast(sum(frequency) as bigint) as total from once group by form)
 """
 _OVER = "where total * 200 >= (select sum(total) from totals)"
-QUERIES = {"p2_found": p2_found, "p2_totals": p2_totals}
-SQL = {"p2_found": f"{_FORMS} select canonical_form from totals {_OVER}", "p2_totals": f"{_FORMS} select canonical_form, total from totals {_OVER}"}
+QUERIES = {"p2_found": p2_found, "p2_totals": p2_totals, "p2_bounds": p2_bounds}
+SQL = {"p2_found": f"{_FORMS} select canonical_form from totals {_OVER}", "p2_totals": f"{_FORMS} select canonical_form, total from totals {_OVER}", "p2_bounds": f"{_FORMS} select canonical_form, total, true as over_low, true as under_high from totals {_OVER}"}

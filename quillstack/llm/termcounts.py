@@ -1,81 +1,131 @@
 """Problem 3: how often every term occurs, kept up to date by signed deltas.
 
 A store holds two tables cut into buckets by hash: the latest state of each record, and each term's
-occurrences and records. A change set is joined with the records it names; what was there counts
+occurrences and records. A change set is merged with the records it names; what was there counts
 negative, what is there now counts positive, and the sums of these deltas by term are merged into the
-touched buckets alone. Buckets are never changed in place: a new version is written beside the old,
-and a manifest names the version of each bucket.
+touched buckets alone. Buckets are never changed in place: a new version is written beside the old, and
+a manifest, moved into place as the last step, names the folder of each bucket.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import new_path, table
+from ..plans.scratch import file_system, new_path, removed, table
 from .heavy import BLANKS
 
 #: White space at either end.
 _EDGES = f"^{BLANKS}+|{BLANKS}+$"
-_RECORDS = "id string, term string, weight long"
 _COUNTS = "term string, occurrences long, records long"
+#: Records of a bucket, on average at most; with more the number of buckets doubles.
+BUCKET_ROWS = 1 << 22
+#: Buckets up to which each task writes its rows of every bucket; with more, rows are first brought together by bucket.
+_FEW = 64
 
 
 class TermStore:
-    """Persistent counts of terms in ``path``, cut into ``buckets`` parts."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
-        #: Table and bucket -> folder; at most 2 * buckets entries.
-        self.manifest: dict[tuple[str, int], str] = {}
-        self.version = 0
-
-    def _bucket(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
-        schema = {"records": _RECORDS, "counts": _COUNTS}[name]
-        paths = sorted({p for (n, b), p in self.manifest.items() if n == name and (buckets is None or b in buckets)})
+    """Counts of terms in the folder ``path``; opened again, it goes on from its last complete version."""
+
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.path, self.bucket_rows = spark, path.rstrip("/"), bucket_rows
+
+    def manifest(self) -> dict:
+        """The last version: its number, buckets, records (an upper bound), type of order, and each table's folder by bucket."""
+        fs, at = file_system(self.spark, f"{self.path}/manifest")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+        names = [n for n in names if n.endswith(".json")]
+        if not names:
+            return {"version": 0, "buckets": 1, "rows": 0, "order": None, "records": {}, "counts": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/{names[-1]}", wholetext=True).first()[0])
+
+    def _put(self, manifest: dict) -> None:
+        name = f"{self.path}/manifest/{manifest['version']:012d}.json"
+        fs, at = file_system(self.spark, name)
+        if fs.exists(at):
+            raise ValueError(f"version {manifest['version']} exists: another writer was faster")
+        part = file_system(self.spark, f"{self.path}/manifest/.{uuid.uuid4().hex}")[1]
+        out = fs.create(part, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(part, at):
+            raise ValueError(f"version {manifest['version']} couldn't be put in place")
+
+    def _bucket(self, key: Column | str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def _read(self, manifest: dict, name: str, buckets: set[int] | None = None) -> DataFrame:
+        schema = _COUNTS if name == "counts" else f"id string, order {manifest['order']}, term string, weight long"
+        paths = sorted(p for b, p in manifest[name].items() if buckets is None or int(b) in buckets)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, name: str, rows: DataFrame, key: str, touched: set[int]) -> None:
-        base = f"{self.path}/v{self.version}/{name}"
-        rows.withColumn("bucket", self._bucket(key)).repartition("bucket").write.partitionBy("bucket").parquet(base)
-        there = {r.bucket for r in self.spark.read.parquet(base).select("bucket").distinct().collect()} if touched else set()  # at most `buckets` rows
-        for b in touched:
-            self.manifest.pop((name, b), None)
-            if b in there:
-                self.manifest[name, b] = f"{base}/bucket={b}"
+    def _write(self, manifest: dict, name: str, folder: str, rows: DataFrame, key: str, touched: set[int] | None) -> None:
+        """Writes a table's touched buckets (None: all) and puts their folders into the manifest."""
+        rows = rows.withColumn("bucket", self._bucket(key, manifest["buckets"]))
+        rows = rows.repartition("bucket") if manifest["buckets"] > _FEW else rows
+        rows.write.partitionBy("bucket").parquet(f"{folder}/{name}")
+        fs, at = file_system(self.spark, f"{folder}/{name}")
+        there = {n.removeprefix("bucket="): f"{folder}/{name}/{n}" for n in (x.getPath().getName() for x in fs.listStatus(at)) if n.startswith("bucket=")}
+        kept = {} if touched is None else {b: p for b, p in manifest[name].items() if int(b) not in touched}
+        manifest[name] = kept | there
 
     def counts(self) -> DataFrame:
         """term, occurrences and records of every term that has a record."""
-        return self._read("counts")
+        return self._read(self.manifest(), "counts")
 
     def apply(self, changes: DataFrame) -> None:
         """Merges ``changes``: id, term (null: the record is deleted), weight, and order.
 
-        Of several changes of an id the one with the greatest order counts (then the greatest term
-        and weight). A null weight is 0. A change that repeats the record's state moves nothing.
-        Rows without id are left out: nothing could ever correct them.
+        A record's state is that of its change with the greatest order (null is least), of equal ones with the
+        greatest term and weight, whenever it comes: what comes late with an older order moves nothing, a deleted
+        record stays deleted for older changes. A null weight is 0. Rows without id are left out: nothing could tell
+        that one is delivered again.
         """
-        self.version += 1
-        latest = changes.where("id is not null").groupBy("id").agg(F.max(F.struct("order", "term", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))).alias("r")).select("id", F.col("r.term").alias("term"), F.col("r.weight").alias("weight"))
-        at = f"{self.path}/v{self.version}/changes"
-        latest.withColumn("bucket", self._bucket("id")).write.parquet(at)
-        new = self.spark.read.parquet(at)
-        touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # at most `buckets` rows
-        old = self._read("records", touched)
-        # only records that are added, changed or deleted give deltas
-        both = new.drop("bucket").join(old.select("id", F.col("term").alias("term_0"), F.col("weight").alias("weight_0")), "id", "left")
-        moved = both.where(~(F.col("term").eqNullSafe(F.col("term_0")) & F.col("weight").eqNullSafe(F.col("weight_0"))))
-        signed = moved.select(F.explode(F.array(F.struct(F.col("term").alias("term"), F.col("weight").alias("n"), F.lit(1).alias("r")), F.struct(F.col("term_0").alias("term"), (-F.col("weight_0")).alias("n"), F.lit(-1).alias("r")))).alias("d")).where("d.term is not null").groupBy("d.term").agg(F.sum("d.n").alias("occurrences"), F.sum("d.r").cast("long").alias("records"))
-        signed.withColumn("bucket", self._bucket("term")).write.parquet(f"{self.path}/v{self.version}/deltas")
-        deltas = self.spark.read.parquet(f"{self.path}/v{self.version}/deltas")
-        hit = {r.bucket for r in deltas.select("bucket").distinct().collect()}  # at most `buckets` rows
-        merged = self._read("counts", hit).unionByName(deltas.drop("bucket")).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
-        kept = old.join(new.select("id"), "id", "left_anti").unionByName(new.where("term is not null").drop("bucket"))
-        self._write("counts", merged, "term", hit)
-        self._write("records", kept, "id", touched)
+        last = self.manifest()
+        folder = f"{self.path}/v{last['version'] + 1}-{uuid.uuid4().hex}"
+        state = F.struct("order", "term", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+        changes.where("id is not null").groupBy("id").agg(F.max(state).alias("s")).select("id", "s.*").write.parquet(f"{folder}/changes")
+        new = self.spark.read.parquet(f"{folder}/changes")
+        rows = last["rows"] + new.count()
+        now = last | {"version": last["version"] + 1, "order": last["order"] or new.schema["order"].dataType.simpleString()}
+        while rows > now["buckets"] * self.bucket_rows:
+            now["buckets"] *= 2
+        whole = now["buckets"] != last["buckets"] or now["buckets"] == 1
+        of = lambda df, key: {r.b for r in df.select(self._bucket(key, now["buckets"]).alias("b")).distinct().collect()}  # noqa: E731  at most `buckets` rows
+        touched = None if whole else of(new, "id")
+        was = F.struct("order", "term", "weight")
+        old = self._read(now, "records", touched).select("id", was.alias("s"), was.alias("was"))
+        both = old.unionByName(new.select("id", was.alias("s")), allowMissingColumns=True).groupBy("id").agg(F.max("s").alias("s"), F.max("was").alias("was"))
+        moved = ~(F.col("s.term").eqNullSafe(F.col("was.term")) & F.col("s.weight").eqNullSafe(F.col("was.weight")))
+        self._write(now, "records", folder, both.select("id", "s.*", F.col("was.term").alias("was_term"), F.col("was.weight").alias("was_weight"), moved.alias("moved")), "id", touched)
+        # only records that are added, changed or deleted give deltas; they stand with the records just written
+        at = [p for p in now["records"].values() if p.startswith(folder)]
+        states = self.spark.read.schema("term string, weight long, was_term string, was_weight long, moved boolean").parquet(*at).where("moved") if at else None
+        if states is not None:
+            plus, minus = F.struct(F.col("term").alias("term"), F.col("weight").alias("n"), F.lit(1).alias("r")), F.struct(F.col("was_term").alias("term"), (-F.col("was_weight")).alias("n"), F.lit(-1).alias("r"))
+            deltas = states.select(F.explode(F.array(plus, minus)).alias("d")).where("d.term is not null").select("d.term", F.col("d.n").alias("occurrences"), F.col("d.r").cast("long").alias("records"))
+            hit = None if whole else of(deltas, "term")
+            merged = self._read(now, "counts", hit).unionByName(deltas).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
+            self._write(now, "counts", folder, merged, "term", hit)
+        now["rows"] = self._read(now, "records").count() if whole else rows
+        self._put(now)
+        removed(self.spark, f"{folder}/changes")
+
+    def vacuum(self) -> None:
+        """Removes what the last version doesn't name; no reader or writer may be at work."""
+        last = self.manifest()
+        named = {p.removeprefix(f"{self.path}/").split("/")[0] for t in ("records", "counts") for p in last[t].values()}
+        fs, at = file_system(self.spark, self.path)
+        for x in fs.listStatus(at) if fs.exists(at) else []:
+            if x.getPath().getName() not in {"manifest", *named}:
+                fs.delete(x.getPath(), True)
+        at = file_system(self.spark, f"{self.path}/manifest")[1]
+        for x in fs.listStatus(at) if fs.exists(at) else []:
+            if x.getPath().getName() != f"{last['version']:012d}.json":
+                fs.delete(x.getPath(), True)
 
 
 def marked(counts: DataFrame, tokens: int, rare: int = 5, common_of: int = 1000) -> DataFrame:

@@ -133,8 +133,8 @@ def test_frequent_items(spark):
         if i is not None and w and w > 0:
             true[i] += w
     want = {i: n for i, n in true.items() if n * 200 >= sum(true.values())}
-    for capacity in (3, 400):
-        got = heavy.frequent_items(df, capacity=capacity).collect()
+    for capacity, most in ((3, 1 << 20), (400, 1 << 20), (3, 6)):
+        got = heavy.frequent_items(df, capacity=capacity, most=most).collect()
         assert {r.item: r.total for r in got} == want and all(r.low <= r.total <= r.high for r in got)
     assert heavy.frequent_items(df.limit(0)).count() == 0
     assert heavy.frequent_items(spark.createDataFrame([("a", 1)] * 3, "item string, weight long")).first().total == 3
@@ -143,33 +143,64 @@ def test_frequent_items(spark):
 # --- 3
 
 
-def test_term_counts_follow_changes(spark, tmp_path):
+@pytest.mark.parametrize("bucket_rows", [5, 1 << 22])
+def test_term_counts_follow_changes(spark, tmp_path, bucket_rows):
     random.seed(6)
-    store, state = termcounts.TermStore(spark, str(tmp_path), 4), {}
-    for step in range(3):
-        rows = [(f"i{random.randrange(40)}", random.choice(["a", "b", "c", None]), random.choice([None, 1, 7]), random.randrange(9)) for _ in range(30)] + [(None, "a", 5, 1)]
-        best = {}
+    best = {}
+    for step in range(4):
+        store = termcounts.TermStore(spark, str(tmp_path), bucket_rows)  # opened anew each time
+        rows = [(f"i{random.randrange(40)}", random.choice(["a", "b", "c", None]), random.choice([None, 1, 7]), random.choice([None, *range(9)])) for _ in range(30)] + [(None, "a", 5, 1)]
         for i, t, w, o in rows:
-            key = (o, t is not None, t or "", w or 0)
+            key = (o is not None, o or 0, t is not None, t or "", w or 0)
             if i is not None and (i not in best or key > best[i][0]):
                 best[i] = key, t, w or 0
-        state.update({i: (t, w) for i, (_, t, w) in best.items()})
         store.apply(spark.createDataFrame(rows, "id string, term string, weight int, order int"))
         want = defaultdict(lambda: [0, 0])
-        for t, w in state.values():
+        for _, t, w in best.values():
             if t is not None:
                 want[t][0] += w
                 want[t][1] += 1
         assert {r.term: [r.occurrences, r.records] for r in store.counts().collect()} == dict(want), step
-    before = store.counts().count()
+    assert store.manifest()["buckets"] == (1 if bucket_rows > 40 else store.manifest()["buckets"]) and (bucket_rows > 40 or store.manifest()["buckets"] >= 8)
+    before = sorted(store.counts().collect())
     store.apply(spark.createDataFrame([], "id string, term string, weight int, order int"))
-    assert store.counts().count() == before
+    store.vacuum()
+    assert sorted(termcounts.TermStore(spark, str(tmp_path)).counts().collect()) == before
+
+
+def test_late_changes_and_deletes_keep_their_order(spark, tmp_path):
+    store = termcounts.TermStore(spark, str(tmp_path))
+    for rows, want in (
+        ([("x", "new", 2, 9)], {"new": (2, 1)}),
+        ([("x", "old", 5, 3), ("x", "older", 5, None)], {"new": (2, 1)}),  # late, and undated
+        ([("x", None, None, 10), ("y", "a", 1, 1)], {"a": (1, 1)}),
+        ([("x", "late", 4, 9)], {"a": (1, 1)}),  # older than the deletion
+        ([("x", "again", 4, 11), ("y", "a", 1, 1)], {"a": (1, 1), "again": (4, 1)}),
+    ):
+        store.apply(spark.createDataFrame(rows, "id string, term string, weight int, order int"))
+        assert {r.term: (r.occurrences, r.records) for r in store.counts().collect()} == want
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    one, two = termcounts.TermStore(spark, str(tmp_path)), termcounts.TermStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("x", "a", 1, 1)], "id string, term string, weight int, order int")
+    stale = two.manifest()
+    one.apply(rows)
+    two.manifest = lambda: stale
+    with pytest.raises(ValueError, match="another writer"):
+        two.apply(rows)
+    assert [tuple(r) for r in one.counts().collect()] == [("a", 1, 1)]
 
 
 def test_marks_of_no_rows(spark):
     assert termcounts.corpus_tokens(spark.createDataFrame([], "video_id string, token_count int, processed_at timestamp")) == 0
 
 
+def test_rows_without_id_are_left_out(spark):
+    rows = spark.createDataFrame([("1", "a", 2, 1), ("1", "b", 3, None), (None, "c", 9, 1), ("2", None, 1, 1)], "id string, form string, n int, created_at int")
+    assert [tuple(r) for r in heavy.once_by_id(rows, "form", "n").collect()] == [("a", 2)]
+
+
 # --- 4
 
 

@@ -1,7 +1,7 @@
 """Problem 6: encoding with a byte-level BPE vocabulary as a streaming transducer.
 
 Text goes through two stages. The first cuts it into pre-tokens and needs two characters of lookahead;
-the second turns a pre-token's bytes into ids. How many bytes can still change the tokens before them
+the second turns a pre-token's bytes into ids. Every text goes through both, whatever its length. How many bytes can still change the tokens before them
 follows from the merge list alone (`lookahead`), so of a long pre-token everything further from the
 end of the buffer is emitted at once, and memory stays constant however long a text or a run in it is.
 """
@@ -96,9 +96,7 @@ class Encoder(dict):
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         data = token.encode()
-        if len(data) > WINDOW:
-            return tuple(self._stream([data]))
-        ids = tuple(self.merged(data))
+        ids = tuple(self._stream([data]))
         if len(self) >= REMEMBERED:
             self.clear()
         if len(data) <= 64:
@@ -175,51 +173,52 @@ class Encoder(dict):
                 self.sizes[k] = len(token)
         return self.sizes
 
-    def _runs(self, text: Iterable[str], piece: int) -> Iterator[tuple[str, bool]]:
-        """Pre-tokens, the parts of a very long one each with True until its last."""
-        find, held = pre_token_pattern(sys.maxunicode).match, ""
+    def _runs(self, text: Iterable[str], piece: int) -> Iterator[tuple[list[str], bool]]:
+        """Whole pre-tokens, some at once; or with True a part of a very long one, which goes on with the first of what comes next."""
+        held = ""
         for more in text:
             held += more
-            at = 0
-            while at < len(held):
-                end = find(held, at).end()
-                # an apostrophe may need two further characters, all else one
-                if end + 2 <= len(held):
-                    yield held[at:end], False
-                elif end - at > piece and end == len(held):
-                    end -= 2
-                    yield held[at:end], True
-                else:
-                    break
-                at = end
+            found = pre_tokens(held)
+            # an apostrophe may need two further characters, all else one
+            k, at = len(found), len(held)
+            while k and at + 2 > len(held):
+                k -= 1
+                at -= len(found[k])
+            if k:
+                yield found[:k], False
             held = held[at:]
-        for token in pre_tokens(held):
-            yield token, False
+            if len(held) > piece:
+                yield [held[:-2]], True
+                held = held[-2:]
+        if held:
+            yield pre_tokens(held), False
 
-    def stream(self, text: Iterable[str], piece: int = PIECE) -> Iterator[int]:
-        """Ids of a text that comes in pieces, in memory that doesn't grow with it."""
+    def emitted(self, text: Iterable[str], piece: int = PIECE) -> Iterator[tuple[int, ...]]:
+        """Ids of a text that comes in pieces, a tuple for each pre-token or less, in memory that doesn't grow with it."""
         runs = self._runs(text, piece)
-        for token, more in runs:
-            if more:
-
-                def parts(token: str = token) -> Iterator[bytes]:
-                    yield token.encode()
-                    for rest, again in runs:
-                        yield rest.encode()
-                        if not again:
-                            return
-
-                yield from self._stream(parts())
-            else:
-                yield from self[token]
-
-    def tokens(self, text: str | None) -> list[tuple[int, ...]]:
-        """Ids of a text by pre-token; texts that fit one piece are cut in one go."""
-        if not text:
-            return []
-        if len(text) <= PIECE:
-            return list(map(self.__getitem__, pre_tokens(text)))
-        return [(k,) for k in self.stream(text[i : i + PIECE] for i in range(0, len(text), PIECE))]
+        for tokens, more in runs:
+            if not more:
+                yield from map(self.__getitem__, tokens)
+                continue
+            rest: list[str] = []
+
+            def parts(first: str = tokens[0], rest: list[str] = rest) -> Iterator[bytes]:
+                yield first.encode()
+                for own, again in runs:
+                    yield own[0].encode()
+                    if not again:
+                        rest += own[1:]
+                        return
+
+            yield from ((k,) for k in self._stream(parts()))
+            yield from map(self.__getitem__, rest)
+
+    def stream(self, text: Iterable[str], piece: int = PIECE) -> Iterator[int]:
+        return chain.from_iterable(self.emitted(text, piece))
+
+    def tokens(self, text: str | None) -> Iterator[tuple[int, ...]]:
+        """Ids of a text by pre-token. Every text goes through the transducer, PIECE characters at a time."""
+        return self.emitted(text[i : i + PIECE] for i in range(0, len(text or ""), PIECE))
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.tokens(text)))

@@ -72,6 +72,13 @@ def test_repetition_on_the_table(spark):
     assert {r.doc_id for r in repetition.p1_found(spark, FOLDER).collect()} == want
 
 
+def test_exact_counts_only_behind_the_gate(spark):
+    want = {r.doc_id for r in repetition.document_statistics(table(spark, "documents")).where("n_words >= 20 and n_repeated * 10 > n_words * 3").collect()}
+    rows = repetition.scored(table(spark, "documents"), rows=80).collect()
+    counted = {r.doc_id for r in rows if r.n_repeated is not None}
+    assert counted == {r.doc_id for r in rows if r.passed} and want <= counted and len(counted) < len(rows)
+
+
 @pytest.mark.parametrize("text", ["one", "one two", "one two three", "a b c d", "a b c d e f g"])
 def test_repetition_of_few_words(spark, text):
     got = repetition.document_statistics(docs(spark, [(1, text)])).collect()
@@ -369,7 +376,8 @@ def test_long_runs(own, other, text):
 
 
 def test_ids_of_tables(spark, other):
-    rows = [(1, None), (2, ""), (3, "<|endoftext|> a"), (3, "again")]
+    mixed = " ".join(("it's", "x" * 9000, "\n\n", "你" * 3000, "don't", "1" * 5000)[k % 6] for k in range(60))
+    rows = [(1, None), (2, ""), (3, "<|endoftext|> a"), (3, "again"), (4, "long words, " * 20_000), (5, "z" * 200_000), (6, mixed), (7, " " * 150_000 + "'ll"), (8, "a" * 65_535 + "'re b")]
     got = sorted((r.doc_id, r.ids) for r in bpe.encoded(docs(spark, rows)).collect())
     assert got == sorted((k, other.encode_ordinary(t or "")) for k, t in rows)
     assert bpe.encoded(docs(spark, rows).limit(0)).count() == 0

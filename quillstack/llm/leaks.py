@@ -1,41 +1,49 @@
 """Problem 5: passages of evaluation texts inside a training corpus, by a positional inverted index.
 
 The index is stored in segments, each over whole documents: its terms in order, and for each the
-increasing positions at which it stands, delta-coded bytes. A segment is a row, so searching is a
-narrow pass over stored postings. A phrase is looked up from its rarest term: that term's positions,
-moved by its offset in the phrase, are where the phrase may begin, and the lists of the other terms, rarest
-first and moved by their offsets, are intersected with them.
+increasing positions at which it stands, as delta-coded bytes with a place of their own. A segment is a
+row, so searching is a narrow pass, and of a segment only the lists asked for are decoded. A phrase is
+looked up from its rarest term: that term's positions, moved by its offset in the phrase, are where the
+phrase may begin; the lists of the other terms, rarest first and moved by their offsets, are intersected
+with them. Items are cut into words by the tasks and set against the index in groups of a bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import new_path, table
-from .words import word_blocks, words_of
+from ..plans.scratch import new_path, table, written
+from .words import word_blocks, words_of, words_sql
 
 PHRASE = 12
-#: Words of a segment (it ends after the document that reaches them) and bytes of query words sent to each task at once.
-SEGMENT_WORDS, QUERY_BYTES = 200_000, 16 << 20
-_INDEX = "n_words long, doc_ids array<long>, ends array<int>, terms array<string>, counts array<int>, postings binary"
+#: Words of a segment (it ends after the document that reaches them) and bytes of query words sent to all tasks at once.
+SEGMENT_WORDS, QUERY_BYTES = 200_000, 4 << 20
+_INDEX = "n_words long, doc_ids array<long>, ends array<int>, terms array<string>, counts array<int>, places array<int>, postings binary"
+#: Postings looked at closely at once.
 _BLOCK = 1_000_000
-#: Places looked at closely at once by the proximity search.
 _NEAR_ROWS = 10_000
 
 
+def _sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes that each number takes."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 6):
+        size += values >= 1 << (7 * k)
+    return size
+
+
 def packed(values: np.ndarray) -> bytes:
     """Variable-length bytes of numbers from 0: seven bits each, the highest bit set on all but the last."""
+    size = _sizes(values)
     values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 6):
-        size += values >= np.uint64(1 << (7 * k))
     ends = size.cumsum()
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(int(size.max(initial=0))):
@@ -45,8 +53,8 @@ def packed(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def unpacked(data: bytes | np.ndarray) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
     last = np.flatnonzero(raw < 128)
     first = np.r_[0, last[:-1] + 1]
     out = np.zeros(len(last), np.int64)
@@ -57,7 +65,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
+    schema = pa.schema([("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("postings", pa.binary())])
     for batch in batches:
         docs = batch.column(0).to_pylist()
         for first, end, lens, codes, terms in word_blocks(batch.column(1).to_pylist(), SEGMENT_WORDS):
@@ -71,7 +79,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             deltas = np.diff(at, prepend=0)
             heads = counts.cumsum() - counts
             deltas[heads] = at[heads]  # each list begins anew
-            yield pa.RecordBatch.from_pylist([{"n_words": int(lens.sum()), "doc_ids": docs[first:end], "ends": lens.cumsum().tolist(), "terms": [words[k] for k in order], "counts": counts.tolist(), "postings": packed(deltas)}], schema)
+            places = np.r_[0, _sizes(deltas).cumsum()][heads]  # the byte at which each list begins
+            yield pa.RecordBatch.from_pylist([{"n_words": int(lens.sum()), "doc_ids": docs[first:end], "ends": lens.cumsum().tolist(), "terms": [words[k] for k in order], "counts": counts.tolist(), "places": places.tolist(), "postings": packed(deltas)}], schema)
 
 
 def build_index(documents: DataFrame, path: str) -> None:
@@ -83,43 +92,63 @@ def build_index(documents: DataFrame, path: str) -> None:
 
 
 class Segment:
-    """Postings of one segment, as one array of keys term * n + position in increasing order."""
-
-    def __init__(self, row: dict) -> None:
-        self.n = row["n_words"]
-        self.ids, self.ends = np.array(row["doc_ids"], np.int64), np.array(row["ends"], np.int64)
-        self.terms = {t: k for k, t in enumerate(row["terms"])}
-        self.counts = np.array(row["counts"], np.int64)
-        self.heads = self.counts.cumsum() - self.counts
-        deltas = unpacked(row["postings"])
+    """Postings of one segment. A list is decoded when it is first asked for; ``keys`` has the decoded ones as term * n + position, in order."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int) -> None:
+        of = lambda name: batch.column(name)[row]
+        self.n = of("n_words").as_py()
+        self.ids, self.ends = np.asarray(of("doc_ids").values), np.asarray(of("ends").values).astype(np.int64)
+        self.terms, self.counts = of("terms").values, np.asarray(of("counts").values).astype(np.int64)
+        self.bytes = np.frombuffer(of("postings").as_buffer(), np.uint8)
+        self.places = np.r_[np.asarray(of("places").values).astype(np.int64), len(self.bytes)]
+        self.keys, self.known = np.zeros(0, np.int64), np.zeros(len(self.counts), bool)
+
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """The number of each word among the segment's terms, -1 where it has none."""
+        return pc.fill_null(pc.index_in(words, value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def decode(self, terms: np.ndarray) -> None:
+        """Makes the lists of ``terms`` known."""
+        new = np.unique(terms)
+        new = new[~self.known[new]]
+        if not len(new):
+            return
+        size = self.places[new + 1] - self.places[new]
+        deltas = unpacked(self.bytes[_ranges(self.places[new], size)])
+        counts = self.counts[new]
         sums = deltas.cumsum()
-        self.positions = sums - np.repeat((sums - deltas)[self.heads], self.counts)
-        self.term_at = np.empty(self.n, np.int64)
-        self.term_at[self.positions] = np.repeat(np.arange(len(self.counts)), self.counts)
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        return np.array([self.terms.get(w, -1) for w in words], np.int64)
+        heads = counts.cumsum() - counts
+        positions = sums - np.repeat((sums - deltas)[heads], counts)
+        self.keys = np.sort(np.concatenate([self.keys, np.repeat(new, counts) * self.n + positions]), kind="stable")
+        self.known[new] = True
+
+    def _places_of(self, sets: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ``sets`` (term codes) and the positions of each one's rarest term, in bounded parts."""
+        rare = sets[np.arange(len(sets)), order[:, 0]]
+        self.decode(rare)
+        sizes = self.counts[rare]
+        first = np.searchsorted(self.keys, rare * self.n)
+        for part in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(sizes.cumsum() // _BLOCK)) + 1):
+            row = np.repeat(part, sizes[part])
+            yield row, self.keys[_ranges(first[part], sizes[part])] - rare[row] * self.n
 
-    def starts_of(self, phrases: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def phrases(self, phrases: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of ``phrases`` (term codes, one width) and positions at which they begin, in bounded parts."""
         fine = np.flatnonzero((phrases >= 0).all(1))
         if not len(fine):
             return
         phrases, width = phrases[fine], phrases.shape[1]
-        by_rarity = np.argsort(self.counts[phrases], axis=1, kind="stable")
-        sizes = self.counts[phrases[np.arange(len(fine)), by_rarity[:, 0]]]
-        for part in np.split(np.arange(len(fine)), np.flatnonzero(np.diff(sizes.cumsum() // _BLOCK)) + 1):
-            row = np.repeat(part, sizes[part])
-            offset = by_rarity[row, 0]
-            term = phrases[row, offset]
-            inner = np.arange(len(row)) - np.repeat(sizes[part].cumsum() - sizes[part], sizes[part])
-            start = self.positions[self.heads[term] + inner] - offset
+        order = np.argsort(self.counts[phrases], axis=1, kind="stable")
+        for row, at in self._places_of(phrases, order):
+            start = at - order[row, 0]
             fits = (start >= 0) & (start + width <= self.n)
             row, start = row[fits], start[fits]
             for k in range(1, width):
-                offset = by_rarity[row, k]
-                # position p is in the list of term t just if t stands at p
-                keep = self.term_at[start + offset] == phrases[row, offset]
+                offset = order[row, k]
+                term = phrases[row, offset]
+                self.decode(term)
+                key = term * self.n + start + offset
+                keep = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
                 row, start = row[keep], start[keep]
                 if not len(row):
                     break
@@ -136,21 +165,15 @@ class Segment:
         if not len(fine):
             return
         sets = sets[fine]
-        sets = np.take_along_axis(sets, np.argsort(self.counts[sets], axis=1, kind="stable"), 1)
-        keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.n + self.positions
-        sizes = self.counts[sets[:, 0]]
-        for part in np.split(np.arange(len(fine)), np.flatnonzero(np.diff(sizes.cumsum() // _BLOCK)) + 1):
-            row = np.repeat(part, sizes[part])
-            inner = np.arange(len(row)) - np.repeat(sizes[part].cumsum() - sizes[part], sizes[part])
-            at = self.positions[self.heads[sets[row, 0]] + inner]
+        order = np.argsort(self.counts[sets], axis=1, kind="stable")
+        sets = np.take_along_axis(sets, order, 1)
+        for row, at in self._places_of(sets, np.zeros_like(order)):
             doc = np.searchsorted(self.ends, at, "right")
             low = np.maximum(at - 2 * reach, np.where(doc > 0, self.ends[doc - 1], 0))
             high = np.minimum(at + 2 * reach, self.ends[doc] - 1)
             for k in range(1, sets.shape[1]):
-                first = sets[row, k] * self.n
-                next_ = np.searchsorted(keys, first + low)
-                keep = keys[np.minimum(next_, self.n - 1)] <= first + high
-                keep &= next_ < self.n
+                self.decode(sets[row, k])
+                keep = self._stands(sets[row, k], low, high)
                 row, at, low, high = row[keep], at[keep], low[keep], high[keep]
                 if not len(row):
                     break
@@ -159,131 +182,155 @@ class Segment:
                 found = self._together(sets[row[some]], at[some], low[some], high[some], reach)
                 yield fine[row[some][found]], at[some][found]
 
+    def _stands(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each term stands somewhere from ``low`` to ``high``."""
+        first = np.searchsorted(self.keys, term * self.n + low)
+        return (first < len(self.keys)) & (self.keys[np.minimum(first, len(self.keys) - 1)] <= term * self.n + high)
+
     def _together(self, sets: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, reach: int) -> np.ndarray:
-        """Whether some term between ``low`` and ``high`` has all of its set within ``reach``."""
-        places = at[:, None] + np.arange(-2 * reach, 2 * reach + 1)
-        inside = (places >= low[:, None]) & (places <= high[:, None])
-        here = np.where(inside, self.term_at[np.clip(places, 0, self.n - 1)], -1)
-        every, some = np.ones(here.shape, bool), np.zeros(here.shape, bool)
+        """Whether some occurrence of a term within ``reach`` of ``at`` has all of its set within ``reach``, between ``low`` and ``high``."""
+        out = np.zeros(len(at), bool)
         for k in range(sets.shape[1]):
-            own = here == sets[:, k : k + 1]
-            some |= own
-            # own occurrences up to each place, with room for those out of reach
-            upto = np.pad(own.cumsum(1, dtype=np.int32), ((0, 0), (reach + 1, 0)))
-            upto = np.pad(upto, ((0, 0), (0, reach)), mode="edge")
-            every &= upto[:, 2 * reach + 1 :] > upto[:, : here.shape[1]]
-        return (every & some).any(1)
+            term = sets[:, k] * self.n
+            first = np.searchsorted(self.keys, term + np.maximum(at - reach, low))
+            size = np.searchsorted(self.keys, term + np.minimum(at + reach, high), "right") - first
+            row = np.repeat(np.arange(len(at)), size)
+            anchor = self.keys[_ranges(first, size)] - term[row]
+            every = np.ones(len(row), bool)
+            for j in range(sets.shape[1]):
+                every &= self._stands(sets[row, j], np.maximum(anchor - reach, low[row]), np.minimum(anchor + reach, high[row]))
+            out[row[every]] = True
+        return out
 
-    def docs(self, positions: np.ndarray) -> np.ndarray:
-        return self.ids[np.searchsorted(self.ends, positions, "right")]
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first``, ``size`` of them, end to end."""
+    return np.repeat(first - (size.cumsum() - size), size) + np.arange(size.sum())
 
 
-@dataclass
 class Queries:
-    """Words of some items, and the start in them of each distinct phrase with the items that have it."""
-
-    words: list[str]
-    codes: np.ndarray
-    phrases: np.ndarray
-    items: np.ndarray
-    of: np.ndarray
-    rare: list[tuple[int, np.ndarray]]
-
-
-def _queries(items: list[tuple[int, list[str]]], width: int) -> Queries:
-    words = sorted({w for _, own in items for w in own})
-    code = {w: k for k, w in enumerate(words)}
-    rows = [(i, [code[w] for w in own]) for i, own in items]
-    every = [(own[k : k + width], i) for i, own in rows for k in range(len(own) - width + 1)]
-    distinct: dict[tuple[int, ...], int] = {}
-    of = [distinct.setdefault(tuple(p), len(distinct)) for p, _ in every]
-    phrases = np.array(list(distinct), np.int64).reshape(-1, width)
-    return Queries(words, np.arange(len(words)), phrases, np.array([i for _, i in every], np.int64), np.array(of, np.int64), [(i, np.unique(own)) for i, own in rows if own])
-
-
-def _item_blocks(items: DataFrame, most: int = QUERY_BYTES) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items as (item_id, words), in blocks of some ``most`` bytes of words, so what a task gets is bounded."""
-    block: list[tuple[int, list[str]]] = []
-    size = 0
-    for row in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        own = words_of(row.text)
-        block.append((row.item_id, own))
-        size += sum(map(len, own))
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _search(index: DataFrame, items: DataFrame, find) -> DataFrame:
-    """Unions ``find(segment, queries)`` -> (doc ids, item ids) over all segments and blocks of items."""
-    out = None
-    for block in _item_blocks(items):
-
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+    """Words of a group of items end to end, and what is looked for: distinct rows of word codes, each with the items that have it and where."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        lists = rows.column("words").combine_chunks()
+        coded = lists.values.dictionary_encode()
+        self.words: pa.Array = coded.dictionary
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.items = rows.column("item_id").to_numpy()
+        self.lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = self.lens.cumsum() - self.lens
+
+    def _put(self, rows: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        width = rows.shape[1]
+        whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * width))).ravel()
+        _, some, which = np.unique(whole, return_index=True, return_inverse=True)
+        by = np.argsort(which, kind="stable")
+        self.rows, self.item, self.place = rows[some].astype(np.int64), item[by], place[by]
+        self.first = np.searchsorted(which[by], np.arange(len(some) + 1))
+
+    def phrases(self, width: int) -> None:
+        """Each run of ``width`` words of an item."""
+        own = np.maximum(self.lens - width + 1, 0)
+        at = _ranges(self.starts, own)
+        item = np.repeat(np.arange(len(own)), own)
+        self._put(self.codes[at[:, None] + np.arange(width)], item, at - self.starts[item])
+
+    def runs(self, terms: int) -> None:
+        """The distinct words of each shortest run of an item that has ``terms`` of them, in order of their codes."""
+        pairs: dict[tuple, None] = {}
+        for k, (start, size) in enumerate(zip(self.starts.tolist(), self.lens.tolist(), strict=True)):
+            seen: dict[int, None] = {}  # words of the run that ends here, the one seen longest ago first
+            for w in self.codes[start : start + size].tolist():
+                seen.pop(w, None)
+                seen[w] = None
+                if len(seen) > terms:
+                    del seen[next(iter(seen))]
+                if len(seen) == terms:
+                    pairs[k, *sorted(seen)] = None
+        every = np.array(list(pairs), np.int32).reshape(-1, terms + 1)
+        self._put(every[:, 1:], every[:, 0].astype(np.int64), np.zeros(len(every), np.int64))
+
+    def found(self, segment: Segment, look: Callable) -> pd.DataFrame:
+        """document (its number in the segment), item and place in the item, and start in the document, of all that is found."""
+        out = []
+        if len(self.rows):
+            here = segment.codes(self.words)
+            for row, start in look(segment, here[self.rows]):
+                size = self.first[row + 1] - self.first[row]
+                at = _ranges(self.first[row], size)
+                doc = np.searchsorted(segment.ends, start, "right")
+                begin = start - np.where(doc > 0, segment.ends[doc - 1], 0)
+                out.append(pd.DataFrame({"doc": np.repeat(doc, size), "item": self.item[at], "place": self.place[at], "start": np.repeat(begin, size)}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "item", "place", "start")})
+
+
+def _item_groups(items: DataFrame, most: int | None = None) -> Iterator[tuple[int, pa.Table]]:
+    """Number of groups, and item_id and words of each: all items, in groups of some ``most`` bytes of words (or one item). One group at a time is on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array([sum(map(len, w)) + 4 * len(w) for w in words], pa.int64())], ["item_id", "words", "size"])
+
+    cut = written(items.select("item_id", "text").where("item_id is not null and text is not null").mapInArrow(run, "item_id long, words array<string>, size long").where("size > 0"), "items")
+    total = cut.agg(F.sum("size")).first()[0] or 0
+    groups = -(-2 * total // (most or QUERY_BYTES))
+    for g in range(groups):
+        part = cut if groups == 1 else cut.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
+        rows = part.select("item_id", "words").toArrow()
+        if rows.num_rows:
+            yield groups, rows
+
+
+_FOUND = "doc_id long, item_id long, leaked_words long, item_words long, doc_start long"
+
+
+def _search(index: DataFrame, items: DataFrame, prepare: Callable[[Queries], None], look: Callable, width: int) -> DataFrame:
+    """A row for each document and item of which ``look(segment, rows)`` finds something that ``prepare`` takes from the item's words."""
+    spark, parts = index.sparkSession, []
+    for groups, rows in _item_groups(items):
+        sent = spark.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            if not hasattr(sent, "queries"):  # made once in each worker
+                made = Queries(sent.value)
+                prepare(made)
+                sent.queries = made
+            q = sent.queries
             for batch in batches:
-                for row in batch.to_pylist():
-                    if row["n_words"]:
-                        docs, found = find(Segment(row), block)
-                        pairs = pd.DataFrame({"doc_id": docs, "item_id": found}).drop_duplicates()
-                        yield pa.RecordBatch.from_pandas(pairs, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())]), preserve_index=False)
-
-        part = index.mapInArrow(run, "doc_id long, item_id long")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct() if out is not None else index.sparkSession.createDataFrame([], "doc_id long, item_id long")
-
-
-def _phrases_found(index: DataFrame, items: DataFrame, prepared, look) -> DataFrame:
-    """doc_id and item_id, once each, where ``look(segment, phrases)`` finds a phrase that ``prepared(block)`` has for the item."""
-    cache: dict[int, Queries] = {}
-
-    def find(segment: Segment, block: list) -> tuple[np.ndarray, np.ndarray]:
-        if id(block) not in cache:
-            cache.clear()
-            cache[id(block)] = prepared(block)
-        q = cache[id(block)]
-        order = np.argsort(q.of, kind="stable")
-        first = np.searchsorted(q.of[order], np.arange(len(q.phrases) + 1))
-        docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        here = segment.codes(q.words)
-        for row, start in look(segment, here[q.phrases] if len(here) else q.phrases):
-            pairs = pd.DataFrame({"doc": segment.docs(start), "row": row}).drop_duplicates()
-            many = first[pairs.row + 1] - first[pairs.row]
-            docs.append(np.repeat(pairs.doc.to_numpy(), many))
-            inner = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
-            found.append(q.items[order[np.repeat(first[pairs.row], many) + inner]])
-        return np.concatenate(docs), np.concatenate(found)
-
-    return _search(index, items, find)
+                for k in range(batch.num_rows):
+                    segment = Segment(batch, k)
+                    got = q.found(segment, look).sort_values(["doc", "item", "place"])
+                    once = got.drop_duplicates(["doc", "item", "place"])
+                    # words of the item that lie in something found: each place up to the next one, at most ``width``
+                    step = np.diff(once.place, append=0)
+                    same = (once.doc.diff().shift(-1) == 0) & (once.item.diff().shift(-1) == 0)
+                    once = once.assign(n=np.where(same, np.minimum(step, width), width))
+                    sums = once.groupby(["doc", "item"], as_index=False).agg(n=("n", "sum"))
+                    sums = sums.merge(got.groupby(["doc", "item"], as_index=False).agg(start=("start", "min")))
+                    doc, item = sums.doc.to_numpy(np.int64), sums["item"].to_numpy(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(segment.ids[doc]), pa.array(q.items[item]), pa.array(sums.n.to_numpy(np.int64)), pa.array(q.lens[item]), pa.array(sums.start.to_numpy(np.int64))], ["doc_id", "item_id", "leaked_words", "item_words", "doc_start"])
+
+        part = index.mapInArrow(run, _FOUND)
+        if groups > 1:  # each is looked for before the next is sent
+            part = written(part, "found")
+            sent.unpersist()
+        parts.append(part)
+    out = spark.createDataFrame([], _FOUND)
+    for k, part in enumerate(parts):
+        out = part if not k else out.unionByName(part)
+    # a document or item that is delivered twice is one
+    return out.groupBy("doc_id", "item_id").agg(F.max("leaked_words").alias("leaked_words"), F.max("item_words").alias("item_words"), F.min("doc_start").alias("doc_start"))
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, width: int = PHRASE) -> DataFrame:
     """doc_id and item_id, once each, of which ``width`` consecutive words of the item are consecutive in the document.
 
-    ``items`` has item_id and text. Null texts and items of fewer words match nothing.
+    With them leaked_words (words of the item that lie in such runs), item_words (all of its words) and doc_start (the
+    first of the document's words, from 0, that is in one). ``items`` has item_id and text. Null texts and items of fewer
+    words match nothing.
     """
-    return _phrases_found(index, items, lambda block: _queries(block, width), lambda segment, phrases: segment.starts_of(phrases))
-
-
-def _windows(items: list[tuple[int, list[str]]], terms: int) -> Queries:
-    """The distinct words of each shortest run of an item that has ``terms`` of them, as ``phrases`` of codes."""
-    words = sorted({w for _, own in items for w in own})
-    code = {w: k for k, w in enumerate(words)}
-    distinct: dict[tuple[int, ...], int] = {}
-    pairs: set[tuple[int, int]] = set()
-    for item, own in items:
-        seen: dict[int, int] = {}  # words of the run that ends here, the one seen longest ago first
-        for w in own:
-            seen.pop(code[w], None)
-            seen[code[w]] = 0
-            if len(seen) > terms:
-                del seen[next(iter(seen))]
-            if len(seen) == terms:
-                pairs.add((item, distinct.setdefault(tuple(sorted(seen)), len(distinct))))
-    phrases = np.array(list(distinct), np.int64).reshape(-1, terms)
-    every = sorted(pairs)
-    return Queries(words, np.arange(len(words)), phrases, np.array([i for i, _ in every], np.int64), np.array([k for _, k in every], np.int64), [])
+    return _search(index, items, lambda q: q.phrases(width), lambda segment, rows: segment.phrases(rows), width)
 
 
 def near_matches(index: DataFrame, items: DataFrame, terms: int = 8, reach: int = 24) -> DataFrame:
@@ -293,7 +340,7 @@ def near_matches(index: DataFrame, items: DataFrame, terms: int = 8, reach: int
     of one occurrence of one of them, so each pair depends on its document and item alone. Items with fewer distinct
     words match nothing.
     """
-    return _phrases_found(index, items, lambda block: _windows(block, terms), lambda segment, sets: segment.near(sets, reach))
+    return _search(index, items, lambda q: q.runs(terms), lambda segment, sets: segment.near(sets, reach), 0).select("doc_id", "item_id", "doc_start")
 
 
 def leaked(documents: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
@@ -320,8 +367,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the videos of item and document."""
-    return _leaks(spark, folder, phrase_matches)
+    """The same with the videos of item and document, the share of the item's words that leaked, and where in the document the first stands."""
+    return _leaks(spark, folder, phrase_matches).withColumn("leaked_share", F.round(F.col("leaked_words") / F.col("item_words"), 6))
 
 
 def p5_near(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,4 +377,19 @@ def p5_near(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_leaks": p5_leaks, "p5_near": p5_near}
-SQL: dict[str, str] = {}
+_LEAKS = f"""
+  with {words_sql("documents", "doc_id", "doc_words")}, {words_sql("eval_items", "item_id", "item_words")},
+  item_grams as (select item_id, k, array_to_string(w[k:k + {PHRASE - 1}], ' ') as g from (select item_id, w, unnest(range(1, len(w) - {PHRASE - 2})) as k from item_words)),
+  doc_grams as (select doc_id, k, array_to_string(w[k:k + {PHRASE - 1}], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - {PHRASE - 2})) as k from doc_words)),
+  hits as (select doc_id, item_id, i.k as place, min(d.k) as start from doc_grams d join item_grams i using (g) group by all),
+  steps as (select *, least({PHRASE}, coalesce(lead(place) over (partition by doc_id, item_id order by place) - place, {PHRASE})) as n from hits),
+  found as (select doc_id, item_id, cast(sum(n) as bigint) as leaked_words, min(start) - 1 as doc_start from steps group by doc_id, item_id),
+  leaks as (
+    select f.*, i.video_id as item_video_id, d.video_id as doc_video_id, len(w) as item_words, round(leaked_words / len(w)::double, 6) as leaked_share
+    from found f join item_words using (item_id) join (select item_id, video_id from eval_items) i using (item_id) join (select doc_id, video_id from documents) d using (doc_id)
+    where coalesce(d.video_id <> i.video_id, true))
+"""
+SQL = {
+    "p5_found": f"{_LEAKS} select doc_id, item_id from leaks",
+    "p5_leaks": f"{_LEAKS} select doc_id, item_id, item_video_id, doc_video_id, leaked_words, item_words, doc_start, leaked_share from leaks",
+}

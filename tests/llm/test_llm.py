@@ -268,7 +268,7 @@ def test_equal_stretches_choose_equal_windows(text, at):
 # --- 5
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     random.seed(8)
     line = lambda n: " ".join(random.choice(["the", "of", "a", "kitto", "mara", "sol", "and"]) for _ in range(n))
     items = [(k, random.choice(["v1", "v2", None]), line(random.randrange(40))) for k in range(40)] + [(90, "v1", None), (91, "v1", ""), (92, "v9", items_text := line(30)), (93, "v8", items_text)]
@@ -299,6 +299,11 @@ def test_leaks(spark):
     got = [(r.doc_id, r.item_id) for r in leaks.leaked(d, e, leaks.phrase_matches(index, e)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
     assert leaks.phrase_matches(index, e.limit(0)).count() == 0
+    whole = sorted(leaks.phrase_matches(index, e).collect())
+    one = next(r for r in whole if (r.doc_id, r.item_id) == (902, 92))
+    assert (one.leaked_words, one.item_words, one.doc_start) == (30, 30, 0)
+    monkeypatch.setattr(leaks, "QUERY_BYTES", 2500)  # many groups of items
+    assert sorted(leaks.phrase_matches(index, e).collect()) == whole
     near = {(r.doc_id, r.item_id) for r in leaks.near_matches(index, e, terms=3, reach=5).collect()}
     assert near and all(k not in (900, 901) for k, _ in near)
 

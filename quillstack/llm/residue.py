@@ -1,15 +1,16 @@
 """Problem 8: template residue, filler, error pages and script notices where content should be.
 
-Stock phrases in four languages are found by one multi-pattern automaton; placeholders, filler Latin and
-the frames of error pages have a form of their own. What stands in a code fence, backticks or quotation
-marks is masked first, and a stock phrase counts only as a sentence of its own: real content that quotes
-residue or speaks of it is no case.
+One multi-pattern automaton holds stock phrases in four languages, the keys of notices in any wording, and the
+literals with which placeholders, filler Latin, traces and error pages begin. It says where to look: a phrase counts
+as a sentence of its own, a key if nearly all words of its sentence are parts of notices, a literal if the whole form
+stands there. What stands in a code fence, backticks or quotation marks is masked, and who tells of residue is no case.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -113,30 +114,35 @@ _FENCE = re.compile(r"^[^\S\n]*(```|~~~)((?:(?!\1)[^\n])*)$", re.M)
 _UNCLOSED = re.compile(r"\n[^\S\n]*(?=\n)|\n(?=[^\S\n]*#{1,6}[^\S\n])")
 _FENCED = r"(```|~~~)[^\n]*?\1|^ ?(?:```|~~~).*?(?:\x03|\Z)"
 _IN_FENCE = re.compile(_FENCED, re.M | re.S)
-_QUOTED = re.compile(_FENCED + r"|`[^`\n]*`|“[^”\n]{0,600}”|„[^“”\n]{0,600}[“”]|«[^»\n]{0,600}»|\"[^\"\n]{0,600}\"", re.M | re.S)
+_QUOTED = re.compile(_FENCED + r"|`[^`\n]*`|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"", re.M | re.S)
 _ERROR_JSON = re.compile(r"\{\s*\"(?:error|errors|fault)\"\s*:\s*[\[{]?\s*\{?\s*\"(?:code|status|message|type)\"[^\n]*")
 _FIELD = r"(?:[a-zà-ÿ]+[ _-]){0,4}(?:" + "|".join(FIELD_WORDS) + r")"
-#: Marker without which a text has no such placeholder, and its form.
+#: Literal with which such a placeholder begins (in lower case, for the automaton), and its form, which goes on to the closing bracket in the line.
 _PLACEHOLDERS = [
-    ("{{", r"\{\{[^{}\n]{1,60}\}\}"),
-    ("[[", r"\[\[[a-z][\w .-]{1,60}\]\]"),
-    ("<<", r"<<[a-z][\w .-]{1,60}>>"),
-    ("<%", r"<%[^%\n]{1,80}%>"),
-    ("${", r"\$\{[a-z_][\w.-]{0,60}\}"),
+    ("{{", r"\{\{[^{}\n]+\}\}"),
+    ("[[", r"\[\[[a-z][\w .-]+\]\]"),
+    ("<<", r"<<[a-z][\w .-]+>>"),
+    ("<%", r"<%[^%\n]+%>"),
+    ("${", r"\$\{[a-z_][\w.-]*\}"),
     ("$", r"\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\$"),
-    ("%%", r"%%[a-zA-Z]\w{1,60}%%"),
-    ("@@", r"@@[a-zA-Z]\w{1,60}@@"),
-    ("%(", r"%\(\w{1,60}\)[sdif]"),
+    ("%%", r"%%[a-zA-Z]\w+%%"),
+    ("@@", r"@@[a-zA-Z]\w+@@"),
+    ("%(", r"%\(\w+\)[sdif]"),
     ("%s", r"(?<![\w%])%s(?!\w)"),
-    ("{", r"(?<![\w{$#\"'])\{(?:\d|[a-zA-Z]\w{1,60})\}(?!\})"),
+    ("{", r"(?<![\w{$#\"'])\{(?:\d|[a-zA-Z]\w+)\}(?!\})"),
     ("__", r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)|(?<=[^\s_] )_{5,}(?![\w])|(?<![\w])_{5,}(?= ?[^\s_])"),
     ("#", r"(?<![\w#&/])#[a-z]+(?:_[a-z]+)*#(?!\w)"),
-    ("<", rf"<(?:[Ii]nsert|INSERT|[Yy]our|YOUR) [\w .-]{{1,60}}>|<(?:[a-z]+_)+[a-z]+>|<(?:[a-z]+ )+(?:{'|'.join(FIELD_WORDS)})>"),
-    ("\x01", rf"\x01(?:[Ii]nsert [\w .-]{{1,60}}|{_FIELD})\x02"),
-    ("[", rf"\[(?:[Ii]nsert|INSERT|[Yy]our|YOUR|[Aa]dd|ADD)\b[^\[\]\n]{{1,60}}\](?!\()|\[[Tt]o be (?:filled|added|written|completed|confirmed|determined)[^\[\]\n]{{0,60}}\]|\[{_FIELD}\](?!\()"),
-    ("TB", r"\([^()\n]{0,60}\bTB[DCA]\)|\[[^\[\]\n]{0,60}\bTB[DCA]\]"),
-    ("TODO", r"\b(?:TODO|FIXME): ?(?:add|write|insert|fill|replace|update|complete)\b[^\n]{0,30}"),
-    ("???", r"\b[A-ZÀ-Þ][\w-]*(?: [A-Z][\w-]*){0,4}: ?\?{3,}"),
+    ("<", rf"<(?:[Ii]nsert|INSERT|[Yy]our|YOUR) [\w .-]+>|<(?:[a-z]+_)+[a-z]+>|<(?:[a-z]+ )+(?:{'|'.join(FIELD_WORDS)})>"),
+    ("\x01", rf"\x01(?:[Ii]nsert [\w .-]+|{_FIELD})\x02"),
+    ("[", rf"\[(?:[Ii]nsert|INSERT|[Yy]our|YOUR|[Aa]dd|ADD)\b[^\[\]\n]+\](?!\()|\[[Tt]o be (?:filled|added|written|completed|confirmed|determined)[^\[\]\n]*\]|\[{_FIELD}\](?!\()"),
+    ("todo", r"\b(?:TODO|FIXME): ?(?:add|write|insert|fill|replace|update|complete)\b[^\n]{0,30}"),
+    ("fixme", r"\b(?:TODO|FIXME): ?(?:add|write|insert|fill|replace|update|complete)\b[^\n]{0,30}"),
+]
+_FORMS = [re.compile(form) for _, form in _PLACEHOLDERS]
+#: Forms that begin before the literal they have: found in its line.
+_LINE_FORMS = [
+    *[(x, "placeholder", re.compile(r"\([^()\n]*\bTB[DCA]\)|\[[^\[\]\n]*\bTB[DCA]\]")) for x in ("tbd)", "tbc)", "tba)", "tbd]", "tbc]", "tba]")],
+    ("??", "placeholder", re.compile(r"\b[A-ZÀ-Þ][\w-]*(?: [A-Z][\w-]*){0,4}: ?\?{3,}")),
 ]
 _TRACE = re.compile(r"^(?:traceback \(most recent call last\):|exception in thread \"?\S+|fatal error: |unhandled exception|panic: |uncaught (?:type|reference|syntax|range)?error\b)", re.M)
 _STATUS = re.compile(r"(?:^|(?<=[>.!?|] )|(?<=>))(?:http |error |fehler |erreur )?(?:error )?[45]\d\d\b[ .:–—-]*(?:" + "|".join(sorted((re.escape(x) for x in REASONS.replace("\n", "|").split("|") if x), key=len, reverse=True)) + r")(?=\s*(?:$|[.:!<(–—-]))", re.M)
@@ -146,25 +152,171 @@ _BLANK = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _STARTS = set("\n.!?:;|>)(–—-*#…\x00\x02\"“„«")
 _ENDS = set("\n.!?:;|<(),–—-…\x00")
+#: Where a sentence ends for the parts, and its words.
+_CUT = re.compile(r"[\n.!?:;|<>()\[\]{}–—…\x00-\x03\"“”„«»]")
+_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+_LOG_LINE = re.compile(r"\d\d:\d\d|\b(?:info|warn|warning|error|debug|trace|fatal)\b[\s\]:]")
+
+#: Parts of which notices are made. A sentence is residue if it has a key and one of the key's things, nearly all its words are parts, and it has no word
+#: of a person who tells something.
+KEYS = {
+    "script": """
+disabled|enable|enabled|activate|activated|turn on|turned on|turn * on|switch on|switched on|switch * on|turned off|switched off|blocked|blocking|blocks
+required|requires|require|need|needs|needed|necessary|allow|must be on|must be|without|does not support|doesn't support|not supported|not running|did not run
+aktivieren|aktiviert|deaktiviert|einschalten|eingeschaltet|ausgeschaltet|blockiert|benötigt|benötigen|erforderlich|notwendig|zulassen|erlauben|ohne
+activer|activez|activé|désactivé|bloqué|nécessaire|nécessite|requis|requiert|autoriser|autorisez|sans|obligatoire
+activar|active|activado|desactivado|deshabilitado|habilitar|habilite|habilitado|bloqueado|necesario|necesita|requiere|requerido|permitir|permita|sin|obligatorio
+""",
+    "error": """
+went wrong|gone wrong|hit a snag|hit a problem|ran into a problem|ran into an error|could not|couldn't|cannot|can't|can not|unable to|failed to|not found|doesn't exist
+does not exist|no longer exists|no longer available|not available|unavailable|expired|denied|forbidden|not authorized|not authorised|unauthorized|not allowed
+not permitted|no permission|timed out|overloaded|been moved|been removed|been deleted|having trouble|having problems|having difficulties|trouble loading|not responding
+under maintenance|for maintenance|not reachable|unreachable|an error|a problem occurred|crashed|try again
+schiefgelaufen|schiefgegangen|nicht geladen|nicht gefunden|nicht verfügbar|nicht mehr verfügbar|nicht erreichbar|nicht berechtigt|nicht erlaubt|nicht gestattet
+nicht möglich|existiert nicht|abgelaufen|verweigert|fehlgeschlagen|ein fehler|überlastet|wartungsarbeiten|nicht angezeigt|keine berechtigung|verschoben oder gelöscht
+impossible de|introuvable|n'existe pas|n'existe plus|pas disponible|plus disponible|indisponible|expiré|refusé|interdit|pas autorisé|une erreur|échoué|en maintenance
+pas pu être|n'a pas pu|surchargé|mal passé|déplacée ou supprimée
+salió mal|ido mal|no se pudo|no se puede|no se ha podido|no encontrada|no encontrado|no existe|no está disponible|ya no está disponible|no disponible|caducado|expirado
+denegado|prohibido|no autorizado|no tiene permiso|no está autorizado|un error|ha fallado|fallido|en mantenimiento|sobrecargado|fue eliminada|ha sido eliminada
+""",
+    "filler": """
+coming soon|goes here|go here|goes in|to be written|to be added|to be completed|to be announced|been written|written yet|be added|be available soon|be updated|be completed
+placeholder|dummy|replace me|replace this|under construction|to follow|added soon|follows soon|yet to come|fill in|fill this in|not yet available|insert
+wird noch|folgt in kürze|folgt bald|folgt noch|kommt noch|in bearbeitung|noch nicht|in arbeit|in vorbereitung|demnächst|platzhalter|im aufbau
+à compléter|à venir|à remplir|à rédiger|sera complétée|sera complété|sera ajoutée|sera ajouté|sera disponible|sera bientôt|bientôt|prochainement|en construction|en préparation
+pendiente|próximamente|en construcción|en preparación|estará disponible|se añadirá|será añadido|por completar|por escribir|pronto
+""",
+}
+THINGS = {
+    "script": "javascript|js|scripts|scripting|skripte|los scripts|les scripts",
+    "error": """
+page|site|website|app|application|content|contents|video|transcript|resource|document|link|url|server|service|request|session|file|connection|captions|something
+seite|webseite|website|inhalt|inhalte|dokument|anfrage|sitzung|dienst|verbindung|datei|untertitel|transkript|etwas
+contenu|site|vidéo|document|requête|serveur|session|lien|fichier|connexion|transcription|quelque chose
+página|sitio|contenido|vídeo|documento|solicitud|servidor|servicio|sesión|enlace|archivo|conexión|transcripción|algo
+""",
+    "filler": """
+text|content|section|description|page|information|details|title|summary|copy|abstract|chapter|transcript|article
+abschnitt|inhalt|inhalte|beschreibung|zusammenfassung|kapitel|seite|titel|texte
+texte|contenu|section|paragraphe|résumé|chapitre|titre|page
+texto|contenido|sección|descripción|resumen|capítulo|título|página|información
+""",
+}
+PARTS = """
+this|that|the|a|an|your|our|you|it|is|are|be|been|has|have|to|in|on|of|for|and|or|at|with|from|please|sorry|oops|whoops|uh oh|error|currently|right now|now|again|later|moment
+shortly|soon|few|minutes|minute|seconds|try|retry|reload|refresh|back|home|check|continue|view|see|use|open|access|display|load|loading|loaded|find|found|show|shown|run|work
+works|properly|correctly|any|longer|more|all|we're|we are|we|were looking for|are looking for|requested|completed|processed|reached|connect|connecting|browser|settings|seems
+appears|looks like|seem|appear|not|will|here|yet|temporarily|because|while|real|actual|own|full|will be|must|should|may|can|features|feature|space|place|area|text|off
+die|der|das|diese|dieser|dieses|diesem|dieser seite|ein|eine|einen|ihr|ihre|ihren|ihrem|sie|in|im|für|um|zu|ist|sind|wird|wurde|werden|konnte|kann|können|muss|müssen|sein
+bitte|leider|nicht|noch|hier|hin|text|browser|anzuzeigen|anzeigen|öffnen|laden|geladen|ergänzt|hinzugefügt|später|erneut|versuchen|und|oder|mehr|mit|zurzeit|derzeit|momentan
+ce|cet|cette|ces|le|la|les|un|une|des|du|de|d'|votre|vos|vous|nous|pour|dans|sur|est|sont|être|a été|a|ne|n'est|pas|plus|veuillez|merci d'|merci de|désolé|oups|ou|et|demandée
+demandé|recherchée|que|cherchez|afficher|voir|charger|ouvrir|continuer|réessayer|réessayez|tard|navigateur|ici|complétée|complété|accéder|page|s'est|actuellement|momentanément
+este|esta|esto|el|la|los|las|un|una|su|sus|de|del|para|por|en|es|está|estará|ha|se|que|busca|no|ya|favor|lo sentimos|o|y|ver|cargar|abrir|mostrar|continuar|acceder|inténtelo
+intente|nuevo|más|tarde|navegador|aquí|solicitada|solicitado|disponible|momento|debe|mal|cargarse|puede|pudo
+"""
+#: Who tells of residue is no residue. Past tenses that notices don't have, persons other than we and you, and names of what is spoken of.
+TELLING = set("""
+i i'm i've i'd my me he she his her him they them their us had was were said says told asked ask asks why message messages notice notices explains means
+ich er mir mich mein meine war hatte sagte fragte warum meldung hinweis je j'ai mon ma il elle ils elles était avait pourquoi yo mi él ella ellos era había dijo porque mensaje
+""".split())
+#: Words of a sentence that have to be parts, and words it may have at most.
+PART_SHARE, MOST_WORDS = 0.9, 24
+#: What sends the automaton to look at a place closely.
+_LATIN_HEADS = ("lorem", "dolor", "consequat", "ullamco", "nostrud")
+_TRACES = ("traceback (most recent call last):", "exception in thread", "fatal error: ", "unhandled exception", "panic: ", "uncaught ")
+_JSON_HEADS = ('"error"', '"errors"', '"fault"')
+
+
+def _split(text: str) -> list[str]:
+    return [x for x in text.replace("\n", "|").split("|") if x]
 
 
 @lru_cache(1)
 def _automaton():
+    """All phrases, keys and literals; of each what it stands for: (kind, length, detail) several times."""
     import ahocorasick
 
-    made = ahocorasick.Automaton()
+    own: dict[str, list[tuple]] = {}
+
+    def put(word: str, kind: str, detail: object = None) -> None:
+        own.setdefault(word, []).append((kind, len(word), detail))
+
     for kind, phrases in (("filler", FILLER), ("error", ERRORS)):
-        for phrase in phrases.replace("\n", "|").split("|"):
-            if phrase:
-                made.add_word(phrase, (len(phrase), kind, True))
-    for frame in SCRIPTS.replace("\n", "|").split("|"):
-        for word in SCRIPT_WORDS if frame else ():
-            phrase = frame.replace("*", word)
-            made.add_word(phrase, (len(phrase), "script", False))
+        for phrase in _split(phrases):
+            put(phrase, "phrase", (kind, True))
+    for frame in _split(SCRIPTS):
+        for word in SCRIPT_WORDS:
+            put(frame.replace("*", word), "phrase", ("script", False))
+    for k, (literal, _) in enumerate(_PLACEHOLDERS):
+        put(literal, "form", k)
+    for k, (literal, *_) in enumerate(_LINE_FORMS):
+        put(literal, "line", k)
+    for kind in ("error", "filler"):
+        for key in _split(KEYS[kind]):
+            put(key, "key", kind)
+    for thing in _split(THINGS["script"]):
+        put(thing, "key", "script")
+    for x in _LATIN_HEADS:
+        put(x, "latin")
+    for x in _TRACES:
+        put(x, "trace")
+    for x in _split(REASONS):
+        put(x, "status")
+    put("<title>", "title")
+    for x in _JSON_HEADS:
+        put(x, "json")
+    made = ahocorasick.Automaton()
+    for word, what in own.items():
+        made.add_word(word, what)
     made.make_automaton()
     return made
 
 
+@lru_cache(1)
+def _parts():
+    """The parts as words between blanks, and what they are."""
+    import ahocorasick
+
+    own: dict[str, set[tuple[str, str]]] = {}
+    for role, lists in (("key", KEYS), ("thing", THINGS)):
+        for kind, text in lists.items():
+            for x in _split(text):
+                own.setdefault(x, set()).add((role, kind))
+    for x in _split(PARTS):
+        own.setdefault(x, set()).add(("part", ""))
+    for x, what in list(own.items()):
+        if "*" in x:  # a key around its thing
+            del own[x]
+            for thing in _split(THINGS["script"]):
+                own.setdefault(x.replace("*", thing), set()).update(what | {("thing", "script")})
+    made = ahocorasick.Automaton()
+    for x, what in own.items():
+        made.add_word(f" {x} ", (len(x), frozenset(what)))
+    made.make_automaton()
+    return made
+
+
+@lru_cache(4096)
+def _made_of_parts(sentence: str) -> frozenset[str]:
+    """The kinds of residue that a sentence is by its parts."""
+    words = _WORD.findall(sentence)
+    if not 2 <= len(words) <= MOST_WORDS or not TELLING.isdisjoint(words):
+        return frozenset()
+    plain_ = f" {' '.join(words)} "
+    hit = bytearray(len(plain_))
+    found: set[tuple[str, str]] = set()
+    for last, (size, what) in _parts().iter(plain_):
+        hit[last - size : last] = b"\x01" * size
+        found |= what
+    at, n = 1, 0
+    for w in words:
+        n += all(hit[at : at + len(w)])
+        at += len(w) + 1
+    if n < PART_SHARE * len(words):
+        return frozenset()
+    return frozenset(k for k in KEYS if ("key", k) in found and ("thing", k) in found)
+
+
 def _ended(text: str) -> str:
     """The text with \\x03 where its fences end."""
     marks = list(_FENCE.finditer(text))
@@ -196,37 +348,86 @@ def plain(text: str) -> str:
 
 
 def residue_of(text: str | None) -> list[tuple[int, int, str]]:
-    """Start, end and kind (placeholder, filler, error, script) of all residue in ``plain(text)``, in order."""
+    """Start, end and kind (placeholder, filler, error, script) of all residue in ``plain(text)``, in order.
+
+    One pass of the automaton says where to look; what it names is found whole at that place, in its line or in its sentence.
+    """
     if not text:
         return []
     text = plain(text)
-    found = [(m.start(), m.end(), "error") for m in _ERROR_JSON.finditer(text)] if '"' in text else []
-    found = [x for x in found if not _inside(text, x[0])]
+    plain_text, whole = text, _lowered(text)
+    hits = list(_automaton().iter(whole))
+    if not hits:
+        return []
     if "`" in text or '"' in text or "“" in text or "„" in text or "«" in text or "~~~" in text:
         text = _QUOTED.sub(lambda m: "\x00" * len(m.group()), text)
-    for marker, form in _PLACEHOLDERS:
-        if marker in text:
-            found += [(m.start(), m.end(), "placeholder") for m in re.finditer(form, text)]
-    low = text.lower()
-    if len(low) != len(text):  # a few letters grow when lowered
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found += [(m.start(), m.end(), "filler") for m in _LATIN.finditer(low)] if "lorem" in low or "dolor" in low or "consequat" in low or "ullamco" in low or "nostrud" in low else []
-    found += [(m.start(), m.end(), "error") for form in (_TRACE, _STATUS) for m in form.finditer(low)]
-    if "<title>" in low:
-        found += [(m.start(), m.end(), "error") for m in _HTML_PAGE.finditer(low)]
-    for last, (size, kind, whole) in _automaton().iter(low):
-        first, end = last + 1 - size, last + 1
-        before, after = low[max(0, first - 2) : first], low[end : end + 2]
-        if before.rstrip(" ")[-1:] not in _STARTS and before.strip():
-            continue
-        if before and before[-1].isalnum() or after and after[0].isalnum():
-            continue
-        if whole and after.strip(" ") and after.lstrip(" ")[0] not in _ENDS:
-            continue
-        found.append((first, end, kind))
+    low = _lowered(text)
+    found: list[tuple[int, int, str]] = []
+    seen: set[tuple[str, object]] = set()  # forms and lines looked at, so that each is looked at once
+    cuts: list[int] | None = None
+    for last, what in hits:
+        for kind, size, detail in what:
+            first, end = last + 1 - size, last + 1
+            if kind == "json":
+                if ("json", 0) not in seen:
+                    seen.add(("json", 0))
+                    found += [(m.start(), m.end(), "error") for m in _ERROR_JSON.finditer(plain_text) if not _inside(plain_text, m.start())]
+                continue
+            if low[first] == "\x00" or low[last] == "\x00":
+                continue
+            if kind == "form":
+                m = _FORMS[detail].match(text, first)
+                if m:
+                    found.append((m.start(), m.end(), "placeholder"))
+            elif kind == "line":
+                a, b = _line(low, first)
+                if (detail, a) not in seen:
+                    seen.add((detail, a))
+                    found += [(m.start(), m.end(), _LINE_FORMS[detail][1]) for m in _LINE_FORMS[detail][2].finditer(text, a, b)]
+            elif kind == "latin":
+                if ("latin", 0) not in seen:
+                    seen.add(("latin", 0))
+                    found += [(m.start(), m.end(), "filler") for m in _LATIN.finditer(low)]
+            elif kind in ("trace", "status", "title"):
+                a, b = _line(low, first)
+                if (kind, a) not in seen:
+                    seen.add((kind, a))
+                    found += [(a + m.start(), a + m.end(), "error") for m in {"trace": _TRACE, "status": _STATUS, "title": _HTML_PAGE}[kind].finditer(low[a:b])]
+            elif kind == "phrase" and _alone(low, first, end, detail[1]):
+                found.append((first, end, detail[0]))
+            elif kind == "key":
+                if cuts is None:
+                    cuts = [-1, *(m.start() for m in _CUT.finditer(low)), len(low)]
+                k = bisect_left(cuts, first)
+                a, b = cuts[k - 1] + 1, cuts[k]
+                if ("part", a) not in seen:
+                    seen.add(("part", a))
+                    if b - a <= 16 * MOST_WORDS and (kinds := _made_of_parts(low[a:b])) and not _LOG_LINE.search(low, *_line(low, a)):
+                        found += [(a, b, x) for x in sorted(kinds)]
     return sorted(found)
 
 
+def _lowered(text: str) -> str:
+    low = text.lower()
+    # a few letters grow when lowered
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _line(text: str, at: int) -> tuple[int, int]:
+    end = text.find("\n", at)
+    return text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end
+
+
+def _alone(low: str, first: int, end: int, whole: bool) -> bool:
+    """Whether a phrase begins as a sentence and, if ``whole``, ends as one."""
+    before, after = low[max(0, first - 2) : first], low[end : end + 2]
+    if before.rstrip(" ")[-1:] not in _STARTS and before.strip():
+        return False
+    if before and before[-1].isalnum() or after and after[0].isalnum():
+        return False
+    return not (whole and after.strip(" ") and after.lstrip(" ")[0] not in _ENDS)
+
+
 def _inside(text: str, at: int) -> bool:
     """Whether a place lies in a code fence or backticks."""
     head = text[:at]
@@ -242,6 +443,11 @@ def covered(found: list[tuple[int, int, str]]) -> int:
     return out
 
 
+def coverage(text: str | None, found: list[tuple[int, int, str]]) -> float:
+    """Share of ``plain(text)`` that lies in what was found in it."""
+    return covered(found) / len(plain(text)) if found else 0.0
+
+
 def residue(documents: DataFrame) -> DataFrame:
     """doc_id, n_found, kinds (sorted), covered (characters) and coverage (share of the text as decoded) of each row.
 
@@ -253,7 +459,7 @@ def residue(documents: DataFrame) -> DataFrame:
             texts = batch.column(1).to_pylist()
             found = [residue_of(t) for t in texts]
             cover = [covered(f) for f in found]
-            share = [min(1.0, c / max(1, len(t))) if c else 0.0 for c, t in zip(cover, texts, strict=True)]
+            share = [coverage(t, f) for t, f in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([sorted({k for *_, k in f}) for f in found], pa.list_(pa.string())), pa.array(cover, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "n_found", "kinds", "covered", "coverage"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_found long, kinds array<string>, covered long, coverage double")
@@ -270,7 +476,7 @@ def cleaned(documents: DataFrame, least_coverage: float = 0.0) -> DataFrame:
             keep = []
             for text in batch.column(1).to_pylist():
                 found = residue_of(text)
-                keep.append(not found or covered(found) / max(1, len(text)) < least_coverage)
+                keep.append(not found or coverage(text, found) < least_coverage)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")

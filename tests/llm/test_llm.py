@@ -14,6 +14,7 @@ from quillstack.llm import bpe, gbt, heavy, leaks, mixture, registry, repetition
 from quillstack.llm.windows import Hashed, chosen
 
 from ..oracle import FOLDER, compare, connection
+from .wordings import HELD_BACK, REAL
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
@@ -456,6 +457,32 @@ def test_no_residue_in_fences(text):
     assert residue.residue_of(text) == []
 
 
+@pytest.mark.parametrize("kind", HELD_BACK)
+def test_wordings_held_back(kind):
+    hit = [x for x in HELD_BACK[kind] if any(f[2] == kind for f in residue.residue_of(f"Real words before this.\n\n{x}\n\nAnd after."))]
+    assert len(hit) >= 0.9 * len(HELD_BACK[kind])
+
+
+@pytest.mark.parametrize("text", REAL)
+def test_sentences_that_sound_like_it(text):
+    assert residue.residue_of(text) == []
+
+
+LONG = ["{{ user.profile.first_name | default(\"a friend of the show\") | title }}", "[insert " + "a very long hint of what belongs here " * 9 + "]", "<% " + "x.y " * 90 + "%>", "${" + "a." * 200 + "b}", "(the speaker of " + "the evening " * 20 + "TBD)"]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_residue_of_any_length(text):
+    assert [f[2] for f in residue.residue_of(f"Dear {text}, hello")] == ["placeholder"]
+    quoted = "word " * 200 + text.replace('"', "'") + " word" * 200
+    assert all(residue.residue_of(f"He wrote {a}{quoted}{b} to us") == [] for a, b in ('""', "“”", "«»", "„“", "``"))
+
+
+def test_coverage_is_of_the_text_as_decoded(spark):
+    got = residue.residue(docs(spark, [(1, "&nbsp;&nbsp;&nbsp;\n\n\nAccess denied")])).first()
+    assert got.covered == 13 and got.coverage == 13 / len(residue.plain("&nbsp;&nbsp;&nbsp;\n\n\nAccess denied"))
+
+
 def test_residue_of_tables(spark):
     rows = list(enumerate(RESIDUE + FINE)) + [(1000, "word " * 50_000 + "\n\nAccess denied.")]
     assert {r.doc_id for r in residue.residue(docs(spark, rows)).where("n_found > 0").collect()} == {*range(len(RESIDUE)), 1000}

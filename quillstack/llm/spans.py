@@ -190,6 +190,39 @@ class _Shared:
 
 
 _WINDOW = "h1 long, h2 long, doc_id long, pos int, prev int"
+#: Members of a group that are set against each other in one piece.
+GROUP = 1000
+
+
+def _paired(members: DataFrame, keys: DataFrame, key: list[str], value: str, also: str | None = None) -> DataFrame:
+    """x and y, the ``value`` of any two members of a group (rows with the same ``key``), in either order; ``also`` must hold of them.
+
+    ``keys`` has the groups' sizes as n. A group of more than GROUP members is cut into parts by hash and each pair of
+    parts is a piece of its own, so no task has more than GROUP squared pairs of a group however large it is.
+    """
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    rows = members.join(keys.select(*key, "n"), key).withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64(value), F.col("_parts")).cast("int"))
+    others = [c for c in members.columns if c not in (*key, value)]
+    side = lambda name, own, pieces: rows.select(*key, F.col(value).alias(name), *[F.col(c).alias(f"{c}_{name}") for c in others], F.col("_part").alias(own), F.explode(pieces).alias("j" if own == "i" else "i"))
+    left = side("x", "i", F.sequence(F.col("_part"), F.col("_parts") - 1))
+    right = side("y", "j", F.sequence(F.lit(0), F.col("_part")))
+    pairs = left.join(right, [*key, "i", "j"]).where("x != y and (i < j or x < y)")
+    return (pairs.where(also) if also else pairs).select("x", "y")
+
+
+def _near(shared: _Shared) -> tuple[DataFrame, DataFrame]:
+    """Windows of the span's length at which shared spans begin, and the groups of equal ones with their sizes (n)."""
+    span = shared.span
+    rows = written(shared.begins().mapInArrow(_every(span, span - shared.half + 1, span), _WINDOW), "starts")
+    keys = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("prev").alias("c"), F.max("prev").alias("d"), F.count("*").alias("n")).where("a != b and (c != d or c = -1)").select("h1", "h2", "n")
+    return rows, written(keys, "groups")
+
+
+def _rep_pairs(shared: _Shared) -> DataFrame:
+    """x and y of the distinct texts that share a span, once each."""
+    rows, keys = _near(shared)
+    pairs = _paired(rows.select("h1", "h2", "doc_id", "prev"), keys, ["h1", "h2"], "doc_id", "prev_x != prev_y or prev_x = -1")
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def shared_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -199,20 +232,48 @@ def shared_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
     copies are paired with each other and with all that share with one of them. Ids must be unique.
     """
     shared = _Shared(documents, span)
-    rows = written(shared.begins().mapInArrow(_every(span, span - shared.half + 1, span), _WINDOW), "starts")
-    keys = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("prev").alias("c"), F.max("prev").alias("d")).where("a != b and (c != d or c = -1)").select("h1", "h2")
-    near = rows.join(keys, ["h1", "h2"])
-    left = near.select("h1", "h2", F.col("doc_id").alias("a"), F.col("prev").alias("prev_a"))
-    right = near.select("h1", "h2", F.col("doc_id").alias("b"), F.col("prev").alias("prev_b"))
-    pairs = left.join(right, ["h1", "h2"]).where("a < b and (prev_a != prev_b or prev_a = -1)").select("a", "b").distinct()
-    of = lambda side: shared.copies.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_doc"))
-    wide = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_doc", "a").alias("x"), F.coalesce("b_doc", "b").alias("y"))
-    same = shared.copies.select("rep", F.col("doc_id").alias("x")).join(shared.copies.select("rep", F.col("doc_id").alias("y")), "rep").where("x < y").select("x", "y")
+    sizes = written(shared.copies.groupBy("rep").agg(F.count("*").alias("n")), "sizes")
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    cut = shared.copies.join(sizes, "rep").select("rep", "doc_id", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+
+    def copied(pairs: DataFrame, side: str) -> DataFrame:
+        """Pairs with each copy on one side; the copies of a text come in parts, each with its pairs."""
+        many = pairs.join(sizes.select(F.col("rep").alias(side), parts.alias("parts")), side, "left")
+        rows = many.select("x", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        return rows.join(cut.withColumnRenamed("rep", side), [side, "part"], "left").withColumn(side, F.coalesce("doc_id", side)).select("x", "y")
+
+    wide = copied(copied(_rep_pairs(shared), "x"), "y")
+    same = _paired(shared.copies, sizes, ["rep"], "doc_id")
     return wide.unionByName(same).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
-def _covered(span: int, half: int):
-    """Characters in shared spans of a text, from its shared windows and the hashed places that stand elsewhere too.
+def shared_links(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """doc_id_a < doc_id_b of distinct texts (each by the least doc_id with it) that share a span, and doc_id, rep of all copies.
+
+    All pairs follow from the two: documents share a span if they, or those they are copies of, are one or a pair.
+    """
+    shared = _Shared(documents, span)
+    return _rep_pairs(shared).select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b")), shared.copies
+
+
+def shared_classes(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """class_id and doc_id: two documents share a span if and only if they are in some class together.
+
+    A class is all that have one window of ``span`` characters at which a shared span begins, or all copies of one text, so
+    rows follow the members and not their pairs. It is named by the least doc_id that has it (of copies the least one) and
+    the window's place there, from 0; copies of a text are a class at -1.
+    """
+    shared = _Shared(documents, span)
+    rows, keys = _near(shared)
+    near = rows.select("h1", "h2", "doc_id", "pos").join(keys.select("h1", "h2"), ["h1", "h2"])
+    name = near.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("c")).select("h1", "h2", F.concat_ws(":", "c.doc_id", "c.pos").alias("class_id"))
+    own = near.select("h1", "h2", "doc_id").distinct().join(name, ["h1", "h2"]).select("class_id", F.col("doc_id").alias("rep"))
+    wide = own.join(shared.copies, "rep", "left").select("class_id", F.coalesce("doc_id", "rep").alias("doc_id"))
+    return wide.unionByName(shared.copies.select(F.concat_ws(":", "rep", F.lit(-1)).alias("class_id"), "doc_id"))
+
+
+def _stretches(span: int, half: int):
+    """Start and length of the stretches of a text that lie in shared spans, from its shared windows and the hashed places that stand elsewhere too.
 
     Near a window on whose surroundings texts disagree all places were hashed. Any other place up to a window is
     shared by all texts with that window: they agree on everything from the window before to the one after.
@@ -220,8 +281,8 @@ def _covered(span: int, half: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = []
-            for windows, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            docs, starts, lengths = [], [], []
+            for doc, windows, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 size = max(w["pos"] for w in windows) + 1
                 hashed, whole = np.zeros(size, bool), np.zeros(size, bool)
                 for w in windows:
@@ -234,16 +295,20 @@ def _covered(span: int, half: int):
                 found = found[found < size]
                 whole[found[hashed[found]]] = True
                 at = np.flatnonzero(whole)
-                some.append(int(np.minimum(np.diff(at, append=at[-1] + span), span).sum()) if len(at) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(some, pa.int64())], ["doc_id", "some"])
+                first = np.flatnonzero(np.diff(at, prepend=-span - 2) > span)
+                last = np.r_[first[1:], len(at)] - 1 if len(at) else first
+                docs += [doc] * len(first)
+                starts += at[first].tolist()
+                lengths += (at[last] + span - at[first]).tolist()
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64())})
 
     return run
 
 
-def shared_lengths(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_chars and shared_chars: characters that lie in a span of ``span`` or more that stands elsewhere too.
+def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, start (from 0) and length of each stretch of a document that lies in spans of ``span`` or more that stand elsewhere too.
 
-    One row for each document with such a span. A text with a copy is shared as a whole. Only places near the
+    Spans that touch or overlap are one stretch. A text with a copy is shared as a whole. Only places near the
     borders of shared stretches are hashed, so rows follow the number of stretches and not their length.
     """
     shared = _Shared(documents, span)
@@ -253,10 +318,18 @@ def shared_lengths(documents: DataFrame, span: int = SPAN) -> DataFrame:
     keys = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("h1", "h2")
     places = rows.join(keys, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     windows = borders.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "prev_pos", "agree")).alias("windows"))
-    own = windows.join(places, "doc_id", "left").select("doc_id", "windows", "places").mapInArrow(_covered(span, shared.half), "doc_id long, some long").where("some > 0")
-    own = shared.copies.join(own.withColumnRenamed("doc_id", "rep"), "rep", "full").select(F.coalesce("doc_id", "rep").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.col("some")).alias("some"))
-    sizes = documents.select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    return sizes.join(own, "doc_id").select("doc_id", "n_chars", F.coalesce("some", "n_chars").alias("shared_chars"))
+    own = windows.join(places, "doc_id", "left").select("doc_id", "windows", "places").mapInArrow(_stretches(span, shared.half), "doc_id long, start long, length long")
+    whole = documents.select("doc_id", F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("length")).join(shared.copies.select("doc_id"), "doc_id")
+    return own.join(shared.copies.select("doc_id"), "doc_id", "left_anti").unionByName(whole)
+
+
+def shared_lengths(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, n_chars and shared_chars: characters that lie in a span of ``span`` or more that stands elsewhere too.
+
+    One row for each document with such a span.
+    """
+    sums = shared_spans(documents, span).groupBy("doc_id").agg(F.sum("length").alias("shared_chars"))
+    return documents.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(sums, "doc_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,13 +341,32 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shared_lengths(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares}
+def p4_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where in each document what stands elsewhere begins, and its length."""
+    return shared_spans(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of each class of documents that share a span, from which all pairs follow."""
+    return shared_classes(table(spark, folder, "documents", "doc_id", "text"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p4_spans": p4_spans, "p4_classes": p4_classes}
 _WINDOWS = f"""
   with spans as (select doc_id, k, hash(substr(text, k, {SPAN})) as h from (select doc_id, text, unnest(range(1, length(text) - {SPAN - 2})) as k from documents where length(text) >= {SPAN})),
   shared as (select h from (select distinct doc_id, h from spans) group by h having count(*) > 1),
   few as (select spans.* from spans join shared using (h))
 """
+_CLASSES = f"""
+  with texts as (select text, min(doc_id) as rep, count(*) as n from documents where length(text) >= {SPAN} group by text),
+  spans as (select rep, k, hash(substr(text, k, {SPAN})) as h, substr(text, k - 1, cast(k > 1 as int)) as prev from (select rep, text, unnest(range(1, length(text) - {SPAN - 2})) as k from texts)),
+  classes as (select h, arg_min(rep || ':' || (k - 1), {{'rep': rep, 'k': k}}) as class_id from spans group by h having min(rep) <> max(rep) and (min(prev) <> max(prev) or min(prev) = '')),
+  own as (select distinct class_id, rep from classes join spans using (h)),
+  members as (select rep, doc_id, n from texts join documents using (text))
+"""
 SQL = {
     "p4_found": f"{_WINDOWS}, once as (select distinct doc_id, h from few) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from once a join once b on a.h = b.h and a.doc_id < b.doc_id",
     "p4_shares": f"{_WINDOWS}, parts as (select doc_id, least({SPAN}, coalesce(lead(k) over (partition by doc_id order by k) - k, {SPAN})) as n from few) select doc_id, length(any_value(text)) as n_chars, cast(sum(n) as bigint) as shared_chars from parts join documents using (doc_id) group by doc_id",
+    "p4_spans": f"{_WINDOWS}, steps as (select doc_id, k, coalesce(k - lag(k) over w > {SPAN}, true) as new from few window w as (partition by doc_id order by k)), parts as (select doc_id, k, sum(cast(new as int)) over (partition by doc_id order by k) as part from steps) select doc_id, min(k) - 1 as start, max(k) - min(k) + {SPAN} as length from parts group by doc_id, part",
+    "p4_classes": f"{_CLASSES} select class_id, doc_id from own join members using (rep) union all select rep || ':-1', doc_id from members where n > 1",
 }

@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillstack.llm import bpe, gbt, heavy, leaks, mixture, registry, repetition, residue, spans, termcounts, words
 from quillstack.llm.windows import Hashed, chosen
@@ -229,7 +230,7 @@ def shared(rows, span):
     return pairs, cover
 
 
-def test_shared_spans(spark):
+def test_shared_spans(spark, monkeypatch):
     random.seed(7)
     letter = lambda n: "".join(random.choice("abcd é😀") for _ in range(n))
     span, pool = 80, [letter(300) for _ in range(6)]
@@ -247,9 +248,37 @@ def test_shared_spans(spark):
     got = [(r.doc_id_a, r.doc_id_b) for r in spans.shared_pairs(docs(spark, rows), span).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 200
     assert {r.doc_id: r.shared_chars for r in spans.shared_lengths(docs(spark, rows), span).collect()} == cover
+    texts = dict(rows)
+    for r in spans.shared_spans(docs(spark, rows), span).collect():
+        part = texts[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length >= span and any(part[:span] in (t or "") for k, t in rows if k != r.doc_id)
+    classes = defaultdict(set)
+    for r in spans.shared_classes(docs(spark, rows), span).collect():
+        classes[r.class_id].add(r.doc_id)
+    assert {(a, b) for own in classes.values() for a in own for b in own if a < b} == pairs
+    links, copies = spans.shared_links(docs(spark, rows), span)
+    rep = dict(tuple(r) for r in copies.select("doc_id", "rep").collect())
+    links = {tuple(r) for r in links.collect()}
+    own = lambda k: rep.get(k, k)
+    assert all(a < b for a, b in links) and links == {tuple(sorted((own(a), own(b)))) for a, b in pairs if own(a) != own(b)}
+    monkeypatch.setattr(spans, "GROUP", 7)  # groups in many parts
+    again = [(r.doc_id_a, r.doc_id_b) for r in spans.shared_pairs(docs(spark, rows), span).collect()]
+    assert sorted(again) == sorted(got)
     assert spans.shared_pairs(docs(spark, rows).limit(0), span).count() == 0
 
 
+def test_one_stretch_in_very_many_documents(spark):
+    """A group that all rows are in is cut into even parts; its classes have a row for each member."""
+    n, notice = 4000, "".join(random.Random(1).choice("abcdefgh ") for _ in range(120))
+    rows = [(k, f"{k}x{notice}{k}") for k in range(n)] + [(n + k, notice * 2) for k in range(3)]
+    got = spans.shared_classes(docs(spark, rows), 100)
+    assert {r.doc_id for r in got.collect()} == set(range(n + 3)) and got.count() < 8 * n
+    keys = spark.createDataFrame([(1, n)], "key int, n long")
+    members = spark.createDataFrame([(1, k) for k in range(n)], "key int, doc_id long")
+    pairs = spans._paired(members, keys, ["key"], "doc_id")
+    assert pairs.count() == n * (n - 1) // 2 and pairs.select(F.least("x", "y"), F.greatest("x", "y")).distinct().count() == n * (n - 1) // 2
+
+
 def test_shared_spans_on_the_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     assert {(r.doc_id_a, r.doc_id_b) for r in spans.p4_found(spark, FOLDER).collect()} == shared(rows, 400)[0]

@@ -8,9 +8,6 @@ of a hash, found by summing 4096 ranges of the hash, so that no source is ever s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -19,8 +16,8 @@ from ..plans.scratch import table, written
 from .bpe import TOKENIZERS, token_counts
 
 BUCKETS = 4096
-#: Rows of runs and targets: they are settings, collected and sent to all tasks.
-MOST_TARGETS = 50_000
+#: Rows of a plan up to which it is sent to all tasks; a larger one is joined by a shuffle.
+MOST_SENT = 50_000
 SEED = 7
 
 
@@ -29,94 +26,58 @@ def plain_source(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_")
 
 
-def water_filled(weights: np.ndarray, caps: np.ndarray, budget: float) -> np.ndarray:
-    """Amounts in proportion to ``weights``, none over its cap, that sum to ``budget`` or to all caps if those are less."""
-    out = np.zeros(len(weights))
-    open_ = weights > 0
-    left = budget
-    while open_.any() and left > 0:
-        fill = np.where(open_, weights / weights[open_].sum() * left, 0.0)
-        over = open_ & (fill >= caps)
-        if not over.any():
-            return np.where(open_, fill, out)
-        out[over] = caps[over]
-        left = budget - out.sum()
-        open_ &= ~over
-    return out
-
-
-@dataclass(frozen=True)
-class Plan:
-    """What each source of a run has, should and will give. ``whole`` times all of it, ``rest`` tokens once more."""
-
-    run_id: int
-    tokenizer: str
-    source: str
-    weight_share: float
-    available: int
-    tokens: float
-    whole: int
-    rest: float
-    budget: float
-
-
-def planned(sizes: dict[tuple[str, str], int], totals: dict[str, int], runs: list, targets: list) -> list[Plan]:
-    """Plans from tokens by (tokenizer, source), tokens of all documents by tokenizer, and the settings' rows.
-
-    A source named twice in a run has the sum of its weights and the smaller cap; a null weight is 0, a
-    null cap none; sources without documents, or null, give nothing and leave their share to the others.
+def water_filled(rows: DataFrame, by: str = "run_id") -> DataFrame:
+    """``rows`` (``by``, weight, cap, budget) with tokens: in proportion to weight, none over its cap, in all budget or all caps.
+
+    Clamping what is over and sharing out the rest anew ends at one level: tokens for a weight of 1. A source is clamped if
+    the level reaches cap / weight, and it does if all sources, filled up to there, take no more than the budget. So sources
+    in that order, with running sums of caps and weights, give in one go what the rounds would. A group is a run's targets.
     """
-    out = []
-    for run in sorted(runs, key=lambda r: r.run_id):
-        own: dict[str, list[float]] = {}
-        for t in targets:
-            if t.run_id == run.run_id and t.source is not None:
-                x = own.setdefault(t.source, [0.0, np.inf])
-                x[0] += max(0.0, t.weight or 0.0)
-                x[1] = min(x[1], np.inf if t.max_repeats is None else t.max_repeats)
-        names = sorted(own)
-        weights = np.array([own[s][0] for s in names])
-        have = np.array([sizes.get((run.tokenizer, s), 0) for s in names], float)
-        caps = np.array([own[s][1] * h if h else 0.0 for s, h in zip(names, have, strict=True)])
-        budget = run.budget_share * totals.get(run.tokenizer, 0)
-        for s, w, h, n in zip(names, weights, have, water_filled(weights, caps, budget), strict=True):
-            whole = int(n // h) if h else 0
-            out.append(Plan(run.run_id, run.tokenizer, s, float(w / weights.sum()) if weights.sum() else 0.0, int(h), float(n), whole, float(n - whole * h), float(budget)))
-    return out
-
-
-def _bounded(rows: DataFrame) -> list:
-    got = rows.limit(MOST_TARGETS + 1).collect()
-    if len(got) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} rows of settings")
-    return got
+    inf = F.lit(float("inf"))
+    ratio = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight"))
+    upto = Window.partitionBy(by).orderBy("_ratio").rangeBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(by)
+    own = rows.withColumn("_ratio", ratio)
+    finite = F.when(F.col("_ratio") < inf, F.col("cap")).otherwise(0.0)
+    weight = F.when(F.col("_ratio").isNotNull(), F.col("weight")).otherwise(0.0)
+    sums = own.withColumn("_caps", F.sum(finite).over(upto)).withColumn("_left", F.sum(weight).over(every) - F.sum(weight).over(upto))
+    need = F.when(F.col("_ratio") < inf, F.col("_caps") + F.col("_ratio") * F.greatest(F.lit(0.0), F.col("_left")))
+    marked = sums.withColumn("_clamped", F.coalesce(need <= F.col("budget"), F.lit(False)))
+    level = (F.col("budget") - F.sum(F.when(F.col("_clamped"), F.col("cap")).otherwise(0.0)).over(every)) / F.sum(F.when(~F.col("_clamped"), weight).otherwise(0.0)).over(every)
+    filled = F.when(F.col("_ratio").isNull(), 0.0).when(F.col("_clamped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.coalesce(level, F.lit(0.0)) * F.col("weight")))
+    return marked.withColumn("tokens", filled).drop("_ratio", "_caps", "_left", "_clamped")
 
 
 class Mixture:
     """Documents with their sizes in the tokens of each run's tokenizer, and the plan of each run and source.
 
     Null and empty texts have no tokens and are never chosen; documents without source belong to no
-    target but count in the budget. ``documents`` has doc_id (unique), text and source.
+    target but count in the budget. ``documents`` has doc_id (unique), text and source. A source named twice in a run
+    has the sum of its weights and the smaller cap; a null or negative weight is 0, a null cap none; sources without
+    documents, or null, give nothing and leave their share to the others. Runs and targets may have any number of rows.
     """
 
     def __init__(self, documents: DataFrame, runs: DataFrame, targets: DataFrame, folder: str = TOKENIZERS) -> None:
         self.spark = documents.sparkSession
-        run_rows = _bounded(runs.select("run_id", "budget_share", "tokenizer"))
-        target_rows = _bounded(targets.select("run_id", plain_source(F.col("source")).alias("source"), "weight", "max_repeats"))
         plain = documents.select("doc_id", plain_source(F.col("source")).alias("source"), "text")
-        parts = [token_counts(plain, t, folder).withColumn("tokenizer", F.lit(t)) for t in sorted({r.tokenizer for r in run_rows})]
-        sized = parts[0] if parts else self.spark.createDataFrame([], "doc_id long, source string, n_tokens long, tokenizer string")
-        for part in parts[1:]:
-            sized = sized.unionByName(part)
+        names = sorted(r.tokenizer for r in runs.where("tokenizer is not null").select("tokenizer").distinct().collect())  # as many as vocabularies
+        sized = self.spark.createDataFrame([], "doc_id long, source string, n_tokens long, tokenizer string")
+        for name in names:
+            sized = sized.unionByName(token_counts(plain, name, folder).withColumn("tokenizer", F.lit(name)))
         self.sized = written(sized, "sized")
-        totals = {r.tokenizer: r.n for r in self.sized.groupBy("tokenizer").agg(F.sum("n_tokens").alias("n")).collect()}
-        named = self.sized.where(F.col("source").isin(sorted({t.source for t in target_rows if t.source is not None})))
-        sizes = {(r.tokenizer, r.source): r.n for r in named.groupBy("tokenizer", "source").agg(F.sum("n_tokens").alias("n")).collect()}  # as many as targets at most
-        self.plan = planned(sizes, totals, run_rows, target_rows)
-
-    def plan_rows(self) -> DataFrame:
-        schema = "run_id long, tokenizer string, source string, weight_share double, available long, tokens double, whole long, rest double, budget double"
-        return self.spark.createDataFrame([tuple(vars(p).values()) for p in self.plan], schema)
+        sizes = self.sized.groupBy("tokenizer", "source").agg(F.sum("n_tokens").alias("available"), F.max("n_tokens").alias("largest"))
+        sizes = written(sizes, "sizes")
+        totals = sizes.groupBy("tokenizer").agg(F.sum("available").alias("total"))
+        own = targets.where("source is not null").groupBy("run_id", plain_source(F.col("source")).alias("source")).agg(F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)))).alias("weight"), F.min("max_repeats").alias("most"))
+        rows = own.join(runs.select("run_id", "budget_share", "tokenizer"), "run_id").join(totals, "tokenizer", "left").join(sizes, ["tokenizer", "source"], "left").na.fill(0, ["total", "available", "largest"])
+        cap = F.when(F.col("available") > 0, F.coalesce(F.col("most").cast("double"), F.lit(float("inf"))) * F.col("available")).otherwise(0.0)
+        filled = water_filled(rows.withColumn("cap", cap).withColumn("budget", F.col("budget_share") * F.col("total")))
+        all_ = F.sum("weight").over(Window.partitionBy("run_id"))
+        whole = F.when(F.col("available") > 0, F.floor(F.col("tokens") / F.col("available"))).otherwise(0)
+        plan = filled.withColumn("weight_share", F.when(all_ > 0, F.col("weight") / all_).otherwise(0.0)).withColumn("whole", whole)
+        #: Of each run's sources: what it has, should and will give: ``whole`` times all of it, ``rest`` tokens once more.
+        self.plan = written(plan.withColumn("rest", F.col("tokens") - F.col("whole") * F.col("available")), "plan")
+        self._sent = F.broadcast if self.plan.count() <= MOST_SENT else lambda df: df
 
     def chosen(self, seed: int = SEED) -> DataFrame:
         """run_id, doc_id, source, n_tokens and repeats of each document taken at least once.
@@ -124,7 +85,7 @@ class Mixture:
         Of the sample, the document is taken in whose middle the rest ends or after which it ends, so a source
         misses its tokens by half a document at most.
         """
-        plan = F.broadcast(self.plan_rows().select("run_id", "tokenizer", "source", "whole", "rest").where("tokens > 0"))
+        plan = self._sent(self.plan.where("tokens > 0").select("run_id", "tokenizer", "source", "whole", "rest"))
         place = F.xxhash64(F.lit(seed), "run_id", "doc_id")
         # the sign bit is turned, so that the order of the ranges is that of the hashes
         rows = self.sized.where("n_tokens > 0").join(plan, ["tokenizer", "source"]).withColumn("place", place).withColumn("bucket", (F.shiftright("place", 52) + BUCKETS // 2).cast("int"))
@@ -133,7 +94,7 @@ class Mixture:
         before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # the one range of each source in which the rest ends: as many rows as plans
         edge = sums.withColumn("before", before).where("before < rest and before + n >= rest").select(*key, F.col("bucket").alias("edge"), "before")
-        marked = rows.join(F.broadcast(edge), key, "left")
+        marked = rows.join(self._sent(edge), key, "left")
         inner = Window.partitionBy(*key).orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
         at_edge = marked.where("bucket = edge").withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
         once = F.when(F.col("rest") <= 0, 0).when(F.col("edge").isNull(), 1).when(F.col("bucket") < F.col("edge"), 1).otherwise(0)
@@ -145,7 +106,7 @@ class Mixture:
     def shares(self, seed: int = SEED) -> DataFrame:
         """Of each run's sources: share aimed at, planned and reached tokens, share reached of what was chosen, documents."""
         got = self.chosen(seed).groupBy("run_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("reached"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
-        rows = self.plan_rows().select("run_id", "source", "weight_share", "budget", F.col("tokens").alias("planned")).join(got, ["run_id", "source"], "left").na.fill(0, ["reached", "n_docs", "most_repeats"])
+        rows = self.plan.select("run_id", "source", "weight_share", "budget", F.col("tokens").alias("planned")).join(got, ["run_id", "source"], "left").na.fill(0, ["reached", "n_docs", "most_repeats"])
         total = F.sum("reached").over(Window.partitionBy("run_id"))  # as many rows as targets
         return rows.withColumn("reached_share", F.when(total > 0, F.col("reached") / total).otherwise(0.0))
 
@@ -163,5 +124,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares()
 
 
-QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def p7_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source comes within half a document of its plan and under its cap, and the run's plans make up its budget or all there is."""
+    m = _mixture(spark, folder)
+    got = m.chosen().groupBy("run_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("reached"), F.max("repeats").alias("repeats"))
+    rows = m.plan.join(got, ["run_id", "source"], "left").na.fill(0, ["reached", "repeats"])
+    every = Window.partitionBy("run_id")
+    most = F.least(F.col("budget"), F.sum(F.when(F.col("weight") > 0, F.col("cap")).otherwise(0.0)).over(every))
+    near_plan = F.abs(F.col("reached") - F.col("tokens")) <= F.col("largest") / 2 + 1e-6
+    whole_budget = F.abs(F.sum("tokens").over(every) - most) <= 1e-9 * F.greatest(F.lit(1.0), most)
+    return rows.select("run_id", "source", near_plan.alias("near_plan"), F.coalesce(F.col("repeats") <= F.col("most"), F.lit(True)).alias("under_cap"), whole_budget.alias("whole_budget"))
+
+
+QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_bounds": p7_bounds}
+_SOURCE = r"regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g')"
+SQL = {"p7_bounds": f"select distinct run_id, {_SOURCE} as source, true as near_plan, true as under_cap, true as whole_budget from mix_targets join mix_runs using (run_id) where source is not null"}

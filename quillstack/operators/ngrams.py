@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CAPACITY, HELD_OUT, MIN_FREQ, NGRAMS, PHRASE_BYTES, WORD_BYTES
@@ -24,46 +30,121 @@ def held_back(texts: DataFrame, ids: list[str] | DataFrame = HELD_OUT, column: s
     return texts.where(F.col(column).isNull() | ~F.col(column).isin(*ids))
 
 
+#: Lengths counted in one pass over the texts each. A run is counted only if all runs of the last length before are frequent.
+LEVELS = ((2, 2), (3, 4), (5, 9))
+#: Words worked on at once, bits of a sieve for each of its runs and at most (32 MB, sent to all tasks).
+_BLOCK, _BITS, _MOST_BITS = 500_000, 16, 1 << 28
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def ngram_counts(texts: DataFrame, least: int = NGRAMS[0], most: int = NGRAMS[1], min_freq: int = 1, column: str = "text") -> DataFrame:
     """n, phrase and freq of all runs of ``least`` to ``most`` words within a row, of at least ``min_freq``.
 
-    Words are lower-cased; white space and marks between them don't matter. With a ``min_freq`` longer runs are
-    formed only where all pairs of neighbours are frequent, as they must be in a frequent run: the same
-    counts from a small part of the runs. Null texts, and texts of fewer words, have none.
+    Words are lower-cased; white space and marks between them don't matter. With a ``min_freq`` lengths are counted
+    level by level: a run is formed only if the shorter ones in it are frequent, as they must be. Which those are is told
+    by a bitmap of their hashes, whose size is bounded; where it errs a run is counted in vain, so counts are exact.
+    Texts are never shuffled, only each task's sums. Null texts, and texts of fewer words, have none.
     """
-    rows = texts.select(T.words(column).alias("w")).where(F.size("w") >= least)
+    rows = texts.select(T.words(column).alias("w"))
     if min_freq <= 1 or least < 2:
-        return _counted(rows, least, most).where(F.col("freq") >= min_freq)
-    pairs = _pairs(rows)
-    frequent = written(pairs.groupBy("a", "b").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq), "pairs")
-    longer = _counted(_joined(pairs, frequent.select("a", "b"), max(3, least)), max(3, least), most).where(F.col("freq") >= min_freq)
-    if least > 2:
-        return longer
-    return frequent.select(F.lit(2).alias("n"), F.concat_ws(" ", "a", "b").alias("phrase"), "freq").unionByName(longer)
-
-
-def _counted(rows: DataFrame, least: int, most: int) -> DataFrame:
-    return rows.select(F.explode(runs(F.col("w"), least, most)).alias("g")).groupBy("g.n", "g.phrase").agg(F.count("*").alias("freq"))
-
-
-#: Frequent pairs up to so many go to all tasks; more are joined by a shuffle.
-_MOST_PAIRS = 500_000
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """id of the row, p and a pair of neighbours at p."""
-    inner = F.size("w") - 1
-    both = F.arrays_zip(F.slice("w", F.lit(1), inner).alias("a"), F.slice("w", F.lit(2), inner).alias("b"))
-    return rows.select("w", F.monotonically_increasing_id().alias("id")).select("id", F.posexplode(both).alias("p", "s")).select("id", "p", "s.a", "s.b")
-
-
-def _joined(pairs: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
-    """Parts of rows, of ``least`` words or more, in which all pairs are frequent."""
-    kept = pairs.join(F.broadcast(frequent) if frequent.count() <= _MOST_PAIRS else frequent, ["a", "b"])
-    # a pair's place less its rank among the row's kept pairs is the same for all pairs of a part
-    part = F.col("p") - F.row_number().over(Window.partitionBy("id").orderBy("p"))
-    parts = kept.withColumn("part", part).groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("p", "a", "b"))).alias("s")).where(F.size("s") >= least - 1)
-    return parts.select(F.concat(F.transform("s", lambda x: x.a), F.array(F.element_at("s", -1).b)).alias("w"))
+        return rows.select(F.explode(runs(F.col("w"), least, most)).alias("g")).groupBy("g.n", "g.phrase").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
+    levels = [(a, min(b, most)) for a, b in LEVELS if a <= most]
+    levels += [(LEVELS[-1][1] + 1, most)] if most > LEVELS[-1][1] else []
+    out, sieve, known = None, None, 0
+    for first, last in levels:
+        sums = rows.mapInArrow(_counter(first, last, sieve, known), "n int, phrase string, freq long")
+        level = written(sums.groupBy("n", "phrase").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= min_freq), "runs")
+        out = level if out is None else out.unionByName(level)
+        if last < most:
+            sieve, known = _sieve(level.where(F.col("n") == last), last), last
+    return out.where(F.col("n") >= least) if least > 2 else out
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False).astype(np.uint64)
+
+
+def _places(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """Bits of runs whose first words have the hashes in the first column, and so on."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for h in columns:
+        out = (out ^ h) * _STEP
+        out ^= out >> np.uint64(29)
+    return out & np.uint64(bits - 1)
+
+
+def _sieve(frequent: DataFrame, n: int):
+    """A bitmap of the hashes of phrases of ``n`` words, as a broadcast variable of bounded size."""
+    bits = 1 << 16
+    while bits < min(_MOST_BITS, frequent.count() * _BITS):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.list_flatten(pc.split_pattern(batch.column(0), " ")).dictionary_encode()
+            h = _hashes(words.dictionary)[words.indices.to_numpy()].reshape(-1, n) if len(words) else np.zeros((0, n), np.uint64)
+            at = _places([h[:, k] for k in range(n)], bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["cell", "bit"])
+
+    cells = frequent.select("phrase").mapInArrow(run, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most bits / 64 rows
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[cells.column("cell").to_numpy()] = cells.column("bit").to_numpy()
+    return frequent.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _counter(least: int, most: int, sieve, known: int):
+    """Counts, by block of words, the runs of ``least`` to ``most`` words in which all of ``known`` words are in the sieve."""
+
+    def count(words: pa.Array, lens: np.ndarray) -> pa.RecordBatch:
+        coded = words.dictionary_encode()
+        codes, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        ends = np.repeat(lens.cumsum(), lens)
+        place = np.arange(len(codes))
+        if sieve is None:
+            fine = None
+        else:
+            n = max(0, len(codes) - known + 1)
+            h = _hashes(coded.dictionary)[codes]
+            at = _places([h[k : n + k] for k in range(known)], len(sieve.value) * 64)
+            fine = (sieve.value[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
+        whole = np.array(coded.dictionary.to_pylist(), object)[codes]
+        start, code = place, codes
+        found: dict[str, list] = {"n": [], "phrase": [], "freq": []}
+        for n in range(2, most + 1):
+            keep = start + n <= ends[start]
+            if fine is not None and n >= known:
+                keep[keep] &= fine[start[keep] + n - known]
+            start = start[keep]
+            code, _ = pd.factorize(code[keep] * size + codes[start + n - 1])
+            if n >= least and len(start):
+                counts = np.bincount(code)
+                first = np.empty(len(counts), np.int64)
+                first[code[::-1]] = start[::-1]
+                found["n"].append(np.full(len(counts), n, np.int32))
+                found["phrase"] += map(" ".join, zip(*[whole[first + k] for k in range(n)], strict=True))
+                found["freq"].append(counts)
+        none = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found["n"] or none), pa.int32()), pa.array(found["phrase"], pa.string()), pa.array(np.concatenate(found["freq"] or none), pa.int64())], ["n", "phrase", "freq"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Array] = []
+        lens: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            lists = batch.column(0)
+            own = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff(own.cumsum() // _BLOCK)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                parts.append(lists.slice(a, b - a).flatten())
+                lens.append(own[a:b])
+                size += len(parts[-1])
+                if size >= _BLOCK:
+                    yield count(pa.concat_arrays(parts), np.concatenate(lens))
+                    parts, lens, size = [], [], 0
+        if size:
+            yield count(pa.concat_arrays(parts), np.concatenate(lens))
+
+    return run
 
 
 def distinct_by_length(grams: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from .functions import caps, ids
+from .functions import entities
 from .functions import text as T
 from .operators import codec, dictionary, fillers, frequency, library, ngrams, phrases, transcripts
 from .plans.scratch import spread, table, written
@@ -51,16 +52,16 @@ def _isword(x: str) -> str:
 
 
 _CLASS = f"case when {_isword('token')} then 'word' when regexp_matches(token, '^[{T.SPACE}]') then 'whitespace' else 'punct' end"
-_CNT = f"{_TOK}, counts as (select {_low('token')} as token, count(*) as freq from tok group by 1)"
+_CNT = f"{_TOK}, counts as materialized (select {_low('token')} as token, count(*) as freq from tok group by 1)"
 _WORDS = f"words as (select doc_id, list({_low('token')} order by pos) as w from tok where {_isword('token')} group by doc_id)"
 def _gram(most: int) -> str:
-    return f"""{_WORDS}, grams as (
+    return f"""{_WORDS}, grams as materialized (
   select n, phrase, count(*) as freq from (
     select n, unnest([array_to_string(w[k:k + n - 1], ' ') for k in range(1, len(w) - n + 2)]) as phrase
     from words, (select unnest(range(2, {most + 1})) as n) where len(w) >= n) group by n, phrase)"""
 
 
-_SAVED = f"saved as (select n, phrase, freq, n * 1.8::double as word_cost, 3 as phrase_cost, n * 1.8::double - 3 as savings_each, freq * (n * 1.8::double - 3) as savings_total from grams where freq >= {MIN_FREQ} and n * 1.8::double - 3 > 0)"
+_SAVED = f"saved as materialized (select n, phrase, freq, n * 1.8::double as word_cost, 3 as phrase_cost, n * 1.8::double - 3 as savings_each, freq * (n * 1.8::double - 3) as savings_total from grams where freq >= {MIN_FREQ} and n * 1.8::double - 3 > 0)"
 _PMI = """total as (select sum(freq)::double as total from counts),
   logs as (select phrase, sum(log2(coalesce(c.freq, 1)::double)) as logs from (select phrase, unnest(string_split(phrase, ' ')) as token from saved) p left join counts c using (token) group by phrase),
   pmis as (select s.*, log2(s.freq::double) + (n - 1) * log2(total) - logs as pmi from saved s join logs using (phrase), total)"""
@@ -93,7 +94,7 @@ _V03 = f"""{_SEEDS}, {_BAR},
   slots as (select *, row_number() over (order by first desc, freq desc, kind desc, surface) as slot from (select * from pool_words where surface <> '|' union all select * from pool_phrases)),
   ids as (select * from seeds union all select surface, {_id_sql(_TIER, _NUMBER)}, {_TIER}, freq, kind from slots union all select * from bar),
   ints as (select surface, row_number() over (order by freq desc, case kind when 'tier0' then 0 when 'word' then 1 else 2 end, surface) - 1 as int_id from ids where surface <> '|' or freq >= {MIN_FREQ}),
-  v03 as (select ids.*, int_id from ids left join ints using (surface))"""
+  v03 as materialized (select ids.*, int_id from ids left join ints using (surface))"""
 _CAPS = f"""case when token = {_low('token')} then 'A' else array_to_string([substr('{_B64}', 1 + list_sum([
    (case when regexp_matches(substr(token, cast(k * 6 + j + 1 as bigint), 1), '^\\p{{Lu}}') then 1 << (5 - j) else 0 end) for j in range(0, 6)])::int, 1) for k in range(0, (length(token) + 5) // 6)], '') end"""
 
@@ -543,25 +544,91 @@ def _chunks(s, d) -> DataFrame:
     return table(s, d, "chunks", "video_id", "chunk_id", "text", "meta")
 
 
-@_query()
+_SPLIT = f"[^{T.SPACE}]+"
+_FIRST, _LAST = C.REPEAT_WORDS
+_LEAST, _MOST = C.BOUNDARY_WORDS
+#: Chunks word by word: at each place the longest phrase that stands twice or more in a row is kept once; then chunk by
+#: chunk what begins like the end of what was left of the one before falls away.
+_CLEAN = f"""once as (select row_number() over () as id, video_id, chunk_id, text from (select video_id, chunk_id, min(text) as text from chunks where video_id is not null and chunk_id is not null group by all) where regexp_matches(text, '{_SPLIT}')),
+  {entities.decoded_sql("once", "id", "plain")},
+  start as (select id, regexp_extract_all(text, '{_SPLIT}') as w from plain),
+  walk as (
+    select id, 0::bigint as p, []::varchar[] as kept from start
+    union all select id, p + step * copies, kept || w[p + 1:p + step] from (
+      select *, case when step = 1 then 1 else coalesce(list_min(list_filter(range(1, (len(w) - p) // step), lambda k: w[p + k * step + 1:p + (k + 1) * step] <> w[p + 1:p + step])), (len(w) - p) // step) end as copies
+      from (select id, p, kept, w, coalesce(list_max(list_filter(range({_FIRST}, {_LAST + 1}), lambda n: p + 2 * n <= len(w) and w[p + 1:p + n] = w[p + n + 1:p + 2 * n])), 1) as step from walk join start using (id) where p < len(w)))),
+  words_once as (select id, kept as w from walk join start using (id) where p >= len(w)),
+  placed as (select video_id, chunk_id, w, row_number() over (partition by video_id order by chunk_id) as r from words_once join once using (id)),
+  left_over as (
+    select video_id, chunk_id, r, w as kept from placed where r = 1
+    union all select video_id, chunk_id, r, w[cut + 1:] from (
+      select q.video_id, q.chunk_id, q.r, q.w, coalesce(list_max(list_filter(range({_LEAST}, {_MOST + 1}), lambda n: n <= len(b.kept) and n <= len(q.w) and b.kept[len(b.kept) - n + 1:] = q.w[1:n])), 0) as cut
+      from left_over b join placed q on q.video_id = b.video_id and q.r = b.r + 1)),
+  clean as (select video_id, chunk_id, array_to_string(kept, ' ') as text, len(kept) as n_words from left_over where len(kept) > 0)"""
+
+
+@_query(f"with recursive {_CLEAN} select video_id, chunk_id, text, n_words from clean")
 def asr_dedup(s, d):
     return transcripts.cleaned(_chunks(s, d))
 
 
-@_query()
+@_query(f"""with recursive {_CLEAN}, counts as (select video_id, sum(n_words) as n from clean group by video_id)
+  select video_id, coalesce(min(meta.channel_name), 'unknown') as channel_name, count(distinct chunk_id) as chunk_count, cast(coalesce(any_value(n), 0) as bigint) as token_count from chunks left join counts using (video_id) where video_id is not null and chunk_id is not null group by video_id""")
 def corpus_stats_built(s, d):
     rows = _chunks(s, d)
     return transcripts.corpus_stats(rows, written(transcripts.cleaned(rows), "clean"))
 
 
-@_query()
+#: Units of each document with the dictionary's phrases as one: of overlapping ones, from the left, the longest that begins first.
+_UNITS = f"""{_strip_sql()},
+  flat as (select doc_id, token, {_isword('token')} as word, row_number() over (partition by doc_id order by pos) as i from stripped),
+  in_runs as (select doc_id, i, token, i - row_number() over (partition by doc_id order by i) as run from flat where word),
+  word_runs as (select doc_id, min(i) as i, list(token order by i) as w from in_runs group by doc_id, run),
+  entries as materialized (select surface, base64_id, tier from v03),
+  spans as (select doc_id, i + k - 1 as i, n, array_to_string(w[k:k + n - 1], ' ') as token from (select doc_id, i, w, n, unnest(range(1, len(w) - n + 2)) as k from word_runs, range(2, {C.MOST_PHRASE_WORDS + 1}) t(n) where len(w) >= n)),
+  matches as (select doc_id, i, max(n) as n, arg_max(spans.token, n) as token from spans join entries on surface = {_low('spans.token')} group by doc_id, i),
+  groups as (select *, sum(cast(coalesce(i >= far, true) as int)) over (partition by doc_id order by i) as g from (select *, max(i + n) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as far from matches)),
+  lists as (select doc_id, list({{'i': i, 'n': n, 'e': 0::bigint, 'chosen': []::bigint[]}} order by i) as l from groups group by doc_id, g),
+  picked as (select doc_id, unnest(list_reduce(l, lambda a, x: case when x.i >= a.e then {{'i': x.i, 'n': x.n, 'e': x.i + x.n, 'chosen': list_append(a.chosen, x.i)}} else a end, {{'i': 0::bigint, 'n': 0::bigint, 'e': 0::bigint, 'chosen': []::bigint[]}}).chosen) as i from lists),
+  taken as (select doc_id, i, n, token from picked join matches using (doc_id, i)),
+  inner_ as (select doc_id, unnest(range(i, i + n)) as i from taken),
+  units as (select doc_id, i, token from taken union all select f.doc_id, f.i, f.token from flat f anti join inner_ using (doc_id, i)),
+  coded as (select doc_id, i, token, {_CAPS} as caps, {_low('token')} as low, base64_id, tier, not regexp_matches(token, '{_CHANGED}') as back from units left join entries on surface = {_low('token')})"""
+_TEXT_PIECE = "case when base64_id is not null and back and (token = low or caps <> 'OOV') then case when token = low then base64_id else caps || ':' || base64_id end when back then 'OOV:' || caps || ':' || low else 'OOV:A:' || token end"
+_TEXT_KNOWN = "(base64_id is not null and back and (token = low or caps <> 'OOV'))"
+_KNOWN = "(base64_id is not null and back)"
+_HEX_ID = f"printf('%02X', (tier << 6) | (instr('{_B64}', base64_id[1]) - 1)) || array_to_string(list_transform(range(2, length(base64_id) + 1), lambda k: printf('%02X', instr('{_B64}', base64_id[k]) - 1)), '')"
+_PLAIN = "(not back or length(caps) > 255)"
+_BODY = f"case when {_PLAIN} then token else low end"
+_OOV_CAPS = f"case when {_PLAIN} then 'A' else caps end"
+_HEX = f"""case when {_KNOWN} then case when token = low then '' else 'FE' || printf('%02X', length(caps)) || hex(encode(caps)) end || {_HEX_ID}
+  else 'FF' || printf('%02X', length({_OOV_CAPS})) || hex(encode({_OOV_CAPS})) || printf('%02X%02X', strlen({_BODY}) & 255, strlen({_BODY}) >> 8) || hex(encode({_BODY})) end"""
+_TOO_LONG = f"(not {_KNOWN} and strlen({_BODY}) > 65535)"
+
+
+def _stream_sql(payload: str, size: str, known: str, fmt: str, bad: str) -> str:
+    tiers = ", ".join(f"count(*) filter ({known} and tier = {t}) as tier{t}" for t in range(4))
+    sums = ["n_tokens", "tier0", "tier1", "tier2", "tier3", "caps", "oov"]
+    value = lambda x: f"case when text is null or coalesce(bad, false) then null else {x} end"
+    return f"""with {_ALL}, {_V03}, {_UNITS}, streams as (
+    select doc_id, {payload} as body, count(*) as n_tokens, {tiers}, count(*) filter ({known} and token <> low) as caps, count(*) filter (not {known}) as oov, bool_or({bad}) as bad from coded group by doc_id)
+  select doc_id, {value(size)} as payload, {fmt} as fmt, {", ".join(f"{value(f'coalesce({x}, 0)')} as {x}" for x in sums)}, strlen(text) as src_bytes, """
+
+
+_FMT = "coalesce('.' || lower(documents.fmt), '.txt')"
+_TEXT_OUT = "'ELO|1|' || ltrim(" + _FMT + ", '.') || '|' || coalesce(body, '')"
+_HEX_OUT = "'454C4F0203747874' || coalesce(body, '')"
+
+
+@_query(_stream_sql(f"string_agg({_TEXT_PIECE}, '|' order by i)", _TEXT_OUT, _TEXT_KNOWN, _FMT, "false") + f"case when text is not null then strlen({_TEXT_OUT}) end as enc_bytes, null::varchar as error from documents left join streams using (doc_id)")
 def encode_phrase_stream(s, d):
     return codec.encoded(_docs(s, d, "doc_id", "text", "fmt").withColumn("fmt", F.concat(F.lit("."), F.lower("fmt"))), _v03(s, d)[0])
 
 
-@_query()
+@_query(_stream_sql(f"string_agg({_HEX}, '' order by i)", _HEX_OUT, _KNOWN, "'.txt'", _TOO_LONG) + f"case when text is not null and not coalesce(bad, false) then length({_HEX_OUT}) // 2 end as enc_bytes, case when bad then 'a token is too long for the binary stream' end as error from documents left join streams using (doc_id)")
 def encode_binary_stream(s, d):
-    return codec.encoded(_docs(s, d), _v03(s, d)[0], binary=True)
+    """The binary streams, their payload shown in hex."""
+    return codec.encoded(_docs(s, d), _v03(s, d)[0], binary=True).withColumn("payload", F.hex("payload"))
 
 
 @_query("select doc_id, coalesce(text, null) as text from documents")

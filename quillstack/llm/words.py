@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import html
-import html.entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from ..functions.entities import decoded_sql
+
 #: Maximal runs of characters of the Unicode categories L and N (what Python calls alphanumeric).
 WORD = re.compile(r"[^\W_]+")
 _NUMBER_LINE = re.compile(r"^[^\S\n]*[0-9]+[^\S\n]*$", re.M)
@@ -56,29 +57,10 @@ def word_blocks(texts: list[str | None], most: int = 400_000) -> Iterator[tuple[
 
 #: White space as Python's ``\s`` has it, without the line feed. Fixed values.
 _BLANK = r"[\x09\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-
-
-def _rows_sql(pairs: Iterator[tuple[str, str]]) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs)
 
 
 def words_sql(source: str, key: str, name: str) -> str:
     """CTEs that end in ``name`` (``key``, w: the words of the text as `words_of` gives them) over a table of ``key`` and text."""
-    small = _rows_sql((str(n), html.unescape(f"&#{n};")) for n in range(1, 160) if html.unescape(f"&#{n};") != chr(n))
-    number = "try_cast(case when ref ilike '&#x%' then '0x' || regexp_extract(ref, '&#[xX]([0-9a-fA-F]+)', 1) else regexp_extract(ref, '&#([0-9]+)', 1) end as bigint)"
-    n = name
-    return f"""{n}_cut as (select {key}, text, regexp_split_to_array(text, '{_ENTITY}') as b, regexp_extract_all(text, '{_ENTITY}') as m from {source} where text like '%&%'),
-  {n}_names as (select * from (values {_rows_sql(iter(html.entities.html5.items()))}) v(name, s)),
-  {n}_refs as (select distinct unnest(m) as ref from {n}_cut),
-  {n}_named as (select ref, max(k) as k from {n}_refs, range(2, 34) t(k), {n}_names where ref not like '&#%' and k < length(ref) and name = substr(ref, 2, cast(k as bigint)) group by ref),
-  {n}_nums as (select ref, {number} as c from {n}_refs where ref like '&#%'),
-  {n}_small as (select * from (values {small}) v(c, s)),
-  {n}_plain as (
-    select ref, s || substr(ref, cast(k + 2 as bigint)) as s from {n}_named join {n}_names on name = substr(ref, 2, cast(k as bigint))
-    union all select ref, case when x.c is null or x.c = 0 or x.c > 1114111 or x.c between 55296 and 57343 then chr(65533) when v.s is not null then v.s
-      when x.c between 64976 and 65007 or x.c & 65535 >= 65534 then '' else chr(cast(x.c as int)) end from {n}_nums x left join {n}_small v on v.c = cast(x.c as varchar)),
-  {n}_parts as (select {key}, k, b[k] || coalesce(s, m[k], '') as part from (select {key}, b, m, unnest(range(1, len(b) + 1)) as k from {n}_cut) left join {n}_plain on ref = m[k]),
-  {n}_text as (select {key}, string_agg(part, '' order by k) as text from {n}_parts group by {key} union all select {key}, text from {source} where text is null or text not like '%&%'),
-  {n} as (select {key}, regexp_extract_all(lower(replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^{_BLANK}*[0-9]+{_BLANK}*$', '', 'g'), '(?m)^[^\\n]*-->[^\\n]*$', '', 'g'), 'İ', 'i̇')), '[\\p{{L}}\\p{{N}}]+') as w from {n}_text)"""
+    lines = f"regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^{_BLANK}*[0-9]+{_BLANK}*$', '', 'g'), '(?m)^[^\\n]*-->[^\\n]*$', '', 'g')"
+    return f"""{decoded_sql(source, key, f"{name}_text")},
+  {name} as (select {key}, regexp_extract_all(lower(replace({lines}, 'İ', 'i̇')), '[\\p{{L}}\\p{{N}}]+') as w from {name}_text)"""

@@ -4,9 +4,10 @@ count TRANSCRIPTS OUT [--limit N] [--raw]       token counts, without repeats of
 ngrams TRANSCRIPTS OUT [--limit N] [--min K] [--nmin A] [--nmax B]
 phrases COUNTS OUT NGRAMS... [--absorb R] [--min-pmi P] [--min K] [--report N]
 dictionary COUNTS PHRASES OUT [--min K] [--tier1-reserve N] [--keep-tier0-bigrams]
-encode DICTIONARY IN OUT [--binary] [--stats]   a file, or all files of known formats in a folder
-decode DICTIONARY IN OUT [--binary]
+encode DICTIONARY IN [OUT] [--binary] [--stats] a file, or all files of known formats in a folder; OUT is where they lie unless given
+decode DICTIONARY IN [OUT] [--binary]           a file has the extension that its header has
 verify DICTIONARY IN [--binary]                 whether every file comes back; exit code 1 if one doesn't
+bench DICTIONARY IN [--binary] [--out-json OUT] bytes and seconds of each file and in all
 """
 
 from __future__ import annotations
@@ -56,12 +57,14 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--min", type=int, default=C.MIN_FREQ)
     p.add_argument("--tier1-reserve", type=int, default=C.TIER1_RESERVE)
     p.add_argument("--keep-tier0-bigrams", action="store_true")
-    for name in ("encode", "decode", "verify"):
+    for name in ("encode", "decode", "verify", "bench"):
         p = sub.add_parser(name)
         p.add_argument("dictionary")
         p.add_argument("source")
-        if name != "verify":
-            p.add_argument("out")
+        if name in ("encode", "decode"):
+            p.add_argument("out", nargs="?")
+        if name == "bench":
+            p.add_argument("--out-json")
         p.add_argument("--binary", action="store_true")
         if name == "encode":
             p.add_argument("--stats", action="store_true")
@@ -76,26 +79,30 @@ def _texts(spark: SparkSession, folder: str, limit: int | None, raw: bool) -> Da
 
 def _files(spark: SparkSession, source: str) -> DataFrame:
     """doc_id, name, fmt and text of a file, or of all files of known formats in a folder."""
-    root = os.path.abspath(source if os.path.isdir(source) else os.path.dirname(source) or ".")
+    root = _root(source)
     name = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(root) + 2, 1 << 20)
     rows = formats.read_files(spark, source).select(F.xxhash64("path").alias("doc_id"), name.alias("name"), "fmt", "content", "text")
     return written(rows, "files")
 
 
 def _streams(spark: SparkSession, source: str, binary: bool) -> DataFrame:
-    root = os.path.abspath(source if os.path.isdir(source) else os.path.dirname(source) or ".")
+    root = _root(source)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).where(F.col("path").endswith(EXTENSION[binary]))
     name = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(root) + 2, 1 << 20)
     payload = F.col("content") if binary else F.col("content").cast("string")
     return written(rows.select(F.xxhash64("path").alias("doc_id"), F.regexp_replace(name, r"\.elo[B]?$", "").alias("name"), payload.alias("payload")), "streams")
 
 
+def _root(source: str) -> str:
+    return os.path.abspath(source if os.path.isdir(source) else os.path.dirname(source) or ".")
+
+
 def _encode(spark: SparkSession, args: argparse.Namespace) -> int:
     files, entries = _files(spark, args.source), tables.read_dictionary(spark, args.dictionary)
     got = written(codec.encoded(files, entries, args.binary), "encoded")
     content = F.col("payload") if args.binary else F.encode("payload", "UTF-8")
     both = got.where("payload is not null").join(files.select("doc_id", "name"), "doc_id")
-    n = formats.write_files(both.select(F.concat("name", F.lit(EXTENSION[args.binary])).alias("name"), content.alias("content")), args.out)
+    n = formats.write_files(both.select(F.concat("name", F.lit(EXTENSION[args.binary])).alias("name"), content.alias("content")), args.out or _root(args.source))
     print(f"{n} files")
     if args.stats:
         got.groupBy("fmt").agg(*[F.sum(c).alias(c) for c in (*codec.STATS, "src_bytes", "enc_bytes")], F.count("error").alias("errors")).show(truncate=False)
@@ -106,7 +113,8 @@ def _decode(spark: SparkSession, args: argparse.Namespace) -> int:
     streams, entries = _streams(spark, args.source, args.binary), tables.read_dictionary(spark, args.dictionary)
     got = written(codec.decoded(streams, entries, args.binary), "decoded")
     both = got.where("text is not null").join(streams.select("doc_id", "name"), "doc_id")
-    print(f"{formats.write_files(both.select('name', F.encode('text', 'UTF-8').alias('content')), args.out)} files")
+    name = F.when(F.endswith(F.lower("name"), F.lower("fmt")), F.col("name")).otherwise(F.concat("name", "fmt"))
+    print(f"{formats.write_files(both.select(name.alias('name'), F.encode('text', 'UTF-8').alias('content')), args.out or _root(args.source))} files")
     errors = got.where("error is not null")
     errors.select("error").show(truncate=False)
     return int(errors.count() > 0)
@@ -119,6 +127,18 @@ def _verify(spark: SparkSession, args: argparse.Namespace) -> int:
     return int(rows.where("not same").count() > 0)
 
 
+def _bench(spark: SparkSession, args: argparse.Namespace) -> int:
+    files, entries = _files(spark, args.source), tables.read_dictionary(spark, args.dictionary)
+    rows = written(codec.timed(files, entries, args.binary).join(files.select("doc_id", "name"), "doc_id").drop("doc_id"), "timed")
+    totals = written(codec.bench_totals(rows), "totals")
+    rows.orderBy("name").show(100, truncate=False)
+    totals.show(truncate=False)
+    if args.out_json:
+        tables.write_json(rows, f"{args.out_json}/files")
+        tables.write_json(totals, f"{args.out_json}/totals")
+    return int(not (totals.first().all_same or totals.first().n_docs == 0))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("quillstack").getOrCreate()
@@ -156,6 +176,8 @@ def main(argv: list[str] | None = None) -> int:
             return _decode(spark, args)
         case "verify":
             return _verify(spark, args)
+        case "bench":
+            return _bench(spark, args)
     return 0
 
 

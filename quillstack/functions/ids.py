@@ -22,10 +22,10 @@ def encoded_id(tier: Column, counter: Column) -> Column:
     return out
 
 
-def tier_of(id_: Column) -> Column:
-    """Tier of an id: 0 for one character, 4 for longer ones headed by -, else its length less 1; an error for any other."""
+def tier_of(id_: Column, strict: bool = True) -> Column:
+    """Tier of an id: 0 for one character, 4 for longer ones headed by -, else its length less 1; for any other an error, or null if not ``strict``."""
     multi = F.when(F.substring(id_, 1, 1) == "-", 4).when(F.length(id_).between(2, 4) & F.substring(id_, 1, 1).isin(*FIRST), F.length(id_) - 1)
-    return F.when(F.length(id_) == 1, 0).otherwise(F.coalesce(multi, F.raise_error(F.concat(F.lit("unknown tier for id: "), id_)).cast("int")))
+    return F.when(F.length(id_) == 1, 0).otherwise(F.coalesce(multi, F.raise_error(F.concat(F.lit("unknown tier for id: "), id_)).cast("int")) if strict else multi)
 
 
 def slot_tier(slot: Column) -> tuple[Column, Column]:

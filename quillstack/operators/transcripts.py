@@ -61,16 +61,16 @@ def _transitions(before: list[str], words: list[str]) -> np.ndarray:
     return np.minimum(table, MOST)
 
 
-def split_chunks(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with words: entities decoded, split at white space, without repeats. Rows without any text fall away."""
+def split_chunks(chunks: DataFrame, *also: str) -> DataFrame:
+    """``chunks`` with words: entities decoded, split at white space, without repeats; and string columns ``also``. Rows without any text fall away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [without_repeats(html.unescape(t).split()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["video_id", "chunk_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), *batch.columns[3:]], ["video_id", "chunk_id", "words", *also])
 
-    rows = chunks.select("video_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text").where(F.col("text").rlike(r"[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
-    return rows.mapInArrow(run, "video_id string, chunk_id long, words array<string>")
+    rows = chunks.select("video_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text", *also).where(F.col("text").rlike(r"[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
+    return rows.mapInArrow(run, "video_id string, chunk_id long, words array<string>" + "".join(f", {c} string" for c in also))
 
 
 def _blocks(words: DataFrame) -> DataFrame:
@@ -114,14 +114,14 @@ def _emit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["video_id", "chunk_id", "text", "n_words"])
 
 
-def cleaned(chunks: DataFrame) -> DataFrame:
+def cleaned(chunks: DataFrame, order: str | None = None) -> DataFrame:
     """video_id, chunk_id, text and n_words of chunks (video_id, chunk_id, text) without repeats and overlaps.
 
     Chunks of a video go by chunk_id. Null and blank texts have no row and don't stand between their neighbours; a chunk of which nothing
-    is left has no row, and the next one begins afresh. A chunk delivered twice counts once, with its least
-    text; rows without video_id or chunk_id have no neighbours and fall away.
+    is left has no row, and the next one begins afresh. A chunk delivered twice counts once: the first by the column
+    ``order`` (a path or time) if given, and of equal ones that with the least text; rows without video_id or chunk_id have no neighbours and fall away.
     """
-    once = chunks.where("video_id is not null and chunk_id is not null").groupBy("video_id", "chunk_id").agg(F.min("text").alias("text"))
+    once = chunks.where("video_id is not null and chunk_id is not null").groupBy("video_id", "chunk_id").agg((F.min_by("text", F.struct(order, "text")) if order else F.min("text")).alias("text"))
     rows = written(_blocks(split_chunks(once)), "blocks")
     tables = rows.groupBy("video_id", "block").applyInPandas(_compose, "video_id string, block long, table array<int>")
     starts = tables.groupBy("video_id").applyInPandas(_starts, "video_id string, block long, left int")

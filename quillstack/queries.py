@@ -12,9 +12,11 @@ from .functions import caps, ids
 from .functions import entities
 from .functions import text as T
 from .operators import codec, dictionary, fillers, frequency, library, ngrams, phrases, transcripts
-from .plans.scratch import spread, table, written
+from .plans.scratch import new_path, spread, table, written
 from .sources import formats
 from .sources import library as tables
+from .sources import tables as files
+from .sources import transcripts as scans
 
 MIN_FREQ = 5
 #: Lower case of the one letter that grows when lowered; DuckDB's lower leaves the dot out.
@@ -105,7 +107,7 @@ def _strip_sql() -> str:
 
 
 _PIECES = f"{_CNT}, {_V02}, {_strip_sql()}, pieces as (select s.doc_id, s.pos, s.token, {_CAPS} as caps, {_low('s.token')} as low, v.base64_id, v.tier from stripped s left join v02 v on v.surface = {_low('s.token')})"
-_SIZE = "case when base64_id is null then 4 + length(caps) + strlen(low) when token = low then strlen(base64_id) else 2 + length(caps) + strlen(base64_id) end"
+_SIZE = f"case when regexp_matches(token, '{_CHANGED}') then 5 + strlen(token) when base64_id is null and length(caps) > 255 then 5 + strlen(token) when base64_id is null then 4 + length(caps) + strlen(low) when token = low then strlen(base64_id) else 2 + length(caps) + strlen(base64_id) end"
 
 
 def _dot_sql(a: str, b: str) -> str:
@@ -176,14 +178,8 @@ def ngram_counts(s, d):
     return ngrams.ngram_counts(_docs(s, d, "text"), 2, 9, MIN_FREQ)
 
 
-@_query(f"with {_TOK}, {_gram(4)} select n, count(*) as n_phrases, cast(sum(freq) as bigint) as n_occurrences from grams group by n")
+@_query(f"with {_TOK}, {_gram(9)} select n, count(*) as n_phrases, cast(sum(freq) as bigint) as n_occurrences from grams group by n")
 def ngrams_by_length(s, d):
-    return ngrams.distinct_by_length(ngrams.ngram_counts(_docs(s, d, "text"), 2, 4))
-
-
-@_query()
-def ngrams_by_every_length(s, d):
-    """As ngrams_by_length, of all lengths that are counted, 2 to 9."""
     return ngrams.distinct_by_length(ngrams.ngram_counts(_docs(s, d, "text")))
 
 
@@ -228,17 +224,23 @@ def phrase_candidates_ranked(s, d):
     return rows.select("rank", "phrase", "n", "freq", F.round("pmi", 6).alias("pmi"), "score")
 
 
-@_query(f"select cast(n as bigint) as n, {_id_sql('1', 'least(n, 1279)')} as tier1, {_id_sql('2', 'n')} as tier2, {_id_sql('3', 'n * 61')} as tier3, cast(case when n < {_T1} then 2 when n < {_T1 + _T2} then 3 else 4 end as int) as phrase_bytes from range(0, 81920, 7) t(n)")
+@_query(f"select cast(n as bigint) as n, {_id_sql('1', 'least(n, 1279)')} as tier1, {_id_sql('2', 'n')} as tier2, {_id_sql('3', 'n * 61')} as tier3, cast(case when n < {_T1} then 2 when n < {_T1 + _T2} then 3 else 4 end as int) as phrase_bytes from range(0, 81920) t(n)")
 def base64_ids(s, d):
     n = F.col("id")
     lit = F.lit
-    return s.range(0, 81920, 7).select(n.alias("n"), ids.encoded_id(lit(1), F.least(n, lit(1279))).alias("tier1"), ids.encoded_id(lit(2), n).alias("tier2"), ids.encoded_id(lit(3), n * 61).alias("tier3"), ngrams.phrase_bytes(n).alias("phrase_bytes"))
+    return s.range(0, 81920).select(n.alias("n"), ids.encoded_id(lit(1), F.least(n, lit(1279))).alias("tier1"), ids.encoded_id(lit(2), n).alias("tier2"), ids.encoded_id(lit(3), n * 61).alias("tier3"), ngrams.phrase_bytes(n).alias("phrase_bytes"))
 
 
-@_query("select id, cast(case when length(id) = 1 then 0 when id[1] = '-' then 4 else length(id) - 1 end as int) as tier from (select distinct id from (select id from word_library union all select id from phrase_library) where length(id) between 1 and 4 or id[1] = '-')")
+@_query(f"select id, cast(case when length(id) = 1 then 0 when id[1] = '-' then 4 when length(id) between 2 and 4 and id[1] in ({_quoted(C.FIRST)}) then length(id) - 1 end as int) as tier from (select distinct id from (select id from word_library union all select id from phrase_library))")
 def detect_tier(s, d):
     all_ = table(s, d, "word_library", "id").unionByName(table(s, d, "phrase_library", "id")).distinct()
-    return all_.where("length(id) between 1 and 4 or startswith(id, '-')").select("id", ids.tier_of(F.col("id")).alias("tier"))
+    return all_.select("id", ids.tier_of(F.col("id"), strict=False).alias("tier"))
+
+
+@_query(f"select cast(case when n < {_T1} then 1 when n < {_T1 + _T2} then 2 when n < {sum(C.CAPACITY.values())} then 3 end as int) as tier, count(*) as n from range(0, 5500000) t(n) group by 1")
+def tier_overflow(s, d):
+    """Places of a dictionary by tier; those beyond the last tier have none."""
+    return s.range(0, 5_500_000).groupBy(ids.slot_tier(F.col("id"))[0].alias("tier")).agg(F.count("*").alias("n"))
 
 
 @_query(f"with {_CNT}, {_V02} select surface, base64_id, tier, freq, kind from v02")
@@ -326,21 +328,18 @@ def caps_encode(s, d):
     return words.select("token", caps.encoded_caps(F.col("token")).alias("caps"))
 
 
-@_query(f"with {_TOK} select distinct token, token as back from tok where {_isword('token')} and not regexp_matches(token, '{_CHANGED}')")
-def caps_decode(s, d):
-    words = _docs(s, d, "text").select(F.explode(T.tokens("text")).alias("token")).where(T.is_word(F.col("token")) & ~F.col("token").rlike(_CHANGED)).distinct()
-    return words.select("token", caps.decoded_caps(F.lower("token"), caps.encoded_caps(F.col("token"))).alias("back"))
+_BIT = f"(instr('{_B64}', substr(caps, cast((k - 1) // 6 + 1 as bigint), 1)) - 1) >> (5 - (k - 1) % 6) & 1"
 
 
-@_query(f"with {_PIECES} select token, count(*) as freq, any_value('OOV:' || caps || ':' || low) as oov from (select p.* from pieces p where token in (select unnest(['Subtitle', 'NASA', 'the', 'iPhone'])) or base64_id is null) group by token")
-def oov_tokens(s, d):
-    rows = codec.word_pieces(_docs(s, d), dictionary.words_dictionary(_counts(s, d)))
-    few = rows.where(F.col("token").isin("Subtitle", "NASA", "the", "iPhone") | F.col("base64_id").isNull())
-    return few.groupBy("token").agg(F.count("*").alias("freq")).withColumn("oov", caps.encoded_oov(F.col("token")))
+@_query(f"with {_TOK}, w as (select distinct token, {_low('token')} as low, {_CAPS} as caps from tok where {_isword('token')}) select token, case when caps = 'A' then low else array_to_string([case when {_BIT} = 0 then substr(low, k, 1) when substr(low, k, 1) = 'ß' then 'SS' else upper(substr(low, k, 1)) end for k in range(1, length(low) + 1)], '') end as back from w")
+def caps_decode(s, d):
+    """All words with what their lower case and caps give: of a few letters not the word itself, so those words are written out."""
+    words = _docs(s, d, "text").select(F.explode(T.tokens("text")).alias("token")).where(T.is_word(F.col("token"))).distinct()
+    return words.select("token", caps.decoded_caps(F.lower("token"), caps.encoded_caps(F.col("token"))).alias("back"))
 
 
 @_query(f"with {_PIECES}, least as (select surface from v02 where freq >= {MIN_FREQ}) select p.token, count(*) as freq, any_value(case when regexp_matches(p.token, '{_CHANGED}') then 'OOV:A:' || p.token else 'OOV:' || p.caps || ':' || p.low end) as oov from pieces p left join least on least.surface = p.low where least.surface is null group by p.token")
-def oov_tokens_rare(s, d):
+def oov_tokens(s, d):
     """All tokens outside of a dictionary with a least frequency, as written out."""
     known = dictionary.words_dictionary(_counts(s, d)).where(F.col("freq") >= MIN_FREQ)
     out = codec.word_pieces(_docs(s, d), known).where("base64_id is null")
@@ -363,38 +362,31 @@ def binary_size_by_source(s, d):
     return both.groupBy("source").agg(F.sum("a").alias("src_bytes"), F.sum("b").alias("enc_bytes"), F.round(F.sum("a") / F.sum("b"), 6).alias("ratio"))
 
 
-@_query(f"with {_TOK}, {_strip_sql()} select doc_id, n, n - m as saved from (select doc_id, count(*) as n from tok group by doc_id) join (select doc_id, count(*) as m from stripped group by doc_id) using (doc_id)")
+@_query(f"with {_TOK}, {_strip_sql()} select doc_id, coalesce(n, 0) as n, coalesce(n - m, 0) as saved from documents left join (select doc_id, count(*) as n from tok group by doc_id) using (doc_id) left join (select doc_id, count(*) as m from stripped group by doc_id) using (doc_id)")
 def implicit_space_savings(s, d):
-    rows = _docs(s, d).select("doc_id", T.tokens("text").alias("t"), T.units("text").alias("u")).where(F.size("t") > 0)
-    return rows.select("doc_id", F.size("t").cast("long").alias("n"), (F.size("t") - F.size("u")).cast("long").alias("saved"))
+    rows = _docs(s, d).select("doc_id", F.coalesce(F.size(T.tokens("text")), F.lit(0)).cast("long").alias("n"), F.coalesce(F.size(T.units("text")), F.lit(0)).cast("long").alias("m"))
+    return rows.select("doc_id", "n", (F.col("n") - F.col("m")).alias("saved"))
 
 
-@_query("select doc_id, text from documents where text <> ''")
+@_query("select doc_id, text from documents")
 def implicit_space_restore(s, d):
-    return _docs(s, d).where("text != ''").select("doc_id", T.spaced(T.units("text")).alias("text"))
+    return _docs(s, d).select("doc_id", T.spaced(T.units("text")).alias("text"))
 
 
 _WRITTEN = f"case when not regexp_matches(token, '{_CHANGED}') and (caps <> 'OOV' or base64_id is null) then case when base64_id is null then 'OOV:' || caps || ':' || low when token = low then base64_id else caps || ':' || base64_id end else 'OOV:A:' || token end"
 
 
-@_query(f"with {_PIECES} select doc_id, 'ELO|1|txt|' || string_agg({_WRITTEN}, '|' order by pos) as payload from pieces group by doc_id")
+@_query(f"with {_PIECES}, streams as (select doc_id, string_agg({_WRITTEN}, '|' order by pos) as body from pieces group by doc_id) select doc_id, case when text is not null then 'ELO|1|txt|' || coalesce(body, '') end as payload from documents left join streams using (doc_id)")
 def encode_text_words_only(s, d):
     return codec.encoded_words(_docs(s, d), dictionary.words_dictionary(_counts(s, d)))
 
 
-@_query("select doc_id, text from documents where text <> ''")
+@_query("select doc_id, text from documents")
 def decode_text_words_only(s, d):
     entries = written(dictionary.words_dictionary(_counts(s, d)), "dictionary")
     return codec.decoded_words(codec.encoded_words(_docs(s, d), entries), entries)
 
 
-@_query(f"""with {_PIECES} select distinct token, 'E' as kind, case when token = low then hexed else 'FE' || printf('%02X', length(caps)) || hex(encode(caps)) || hexed end as hex from (
-  select *, printf('%02X', (tier << 6) | (instr('{_B64}', base64_id[1]) - 1)) || coalesce((select string_agg(printf('%02X', instr('{_B64}', base64_id[k]) - 1), '' order by k) from range(2, length(base64_id) + 1) t(k)), '') as hexed from pieces) where base64_id is not null""")
-def binary_pieces(s, d):
-    rows = codec.word_pieces(_docs(s, d), dictionary.words_dictionary(_counts(s, d))).where("base64_id is not null").select("token", "base64_id").distinct()
-    return rows.select("token", F.lit("E").alias("kind"), codec.piece_hex(F.col("token"), F.col("base64_id")).alias("hex"))
-
-
 @_query(f"with {_CNT}, {_V02}, items as (select item_id, unnest(regexp_extract_all(text, '{_RX}')) as token from eval_items), words as (select i.token, v.surface from items i left join (select * from v02 where freq >= {MIN_FREQ}) v on v.surface = {_low('i.token')} where {_isword('token')}) select count(*) as n_words, count(*) filter (surface is null) as n_oov, round(count(*) filter (surface is null) * 100.0 / count(*), 4) as oov_pct from words")
 def heldout_oov_rate(s, d):
     known = dictionary.words_dictionary(_counts(s, d)).where(F.col("freq") >= MIN_FREQ).select("surface")
@@ -606,13 +598,27 @@ _HEX = f"""case when {_KNOWN} then case when token = low then '' else 'FE' || pr
 _TOO_LONG = f"(not {_KNOWN} and strlen({_BODY}) > 65535)"
 
 
-def _stream_sql(payload: str, size: str, known: str, fmt: str, bad: str) -> str:
+@_query(f"with {_CNT}, {_V02}, {_strip_sql()}, entries as (select * from v02 where freq >= {MIN_FREQ}), words as (select distinct token from stripped), coded as (select token, {_CAPS} as caps, {_low('token')} as low, base64_id, tier, not regexp_matches(token, '{_CHANGED}') as back from words left join entries on surface = {_low('token')}) select token, base64_id is null as oov, case when not {_TOO_LONG} then {_HEX} end as hex from coded")
+def binary_pieces(s, d):
+    """All tokens as they stand in the binary stream, in hex, with a dictionary of a least frequency; null for what doesn't fit."""
+    known = dictionary.words_dictionary(_counts(s, d)).where(F.col("freq") >= MIN_FREQ)
+    rows = codec.word_pieces(_docs(s, d), known).select("token", "base64_id").distinct()
+    return rows.select("token", F.col("base64_id").isNull().alias("oov"), codec.piece_hex(F.col("token"), F.col("base64_id")).alias("hex"))
+
+
+def _streams(payload: str, known: str, bad: str) -> str:
     tiers = ", ".join(f"count(*) filter ({known} and tier = {t}) as tier{t}" for t in range(4))
+    return f"""with {_ALL}, {_V03}, {_UNITS}, streams as (
+    select doc_id, {payload} as body, count(*) as n_tokens, {tiers}, count(*) filter ({known} and token <> low) as caps, count(*) filter (not {known}) as oov, bool_or({bad}) as bad from coded group by doc_id)"""
+
+
+def _stream_sql(payload: str, known: str, bad: str, whole: str, size: str, fmt: str) -> str:
+    """All columns of encoded documents: ``payload`` aggregates a document's pieces, ``whole`` is the stream and ``size`` its bytes."""
     sums = ["n_tokens", "tier0", "tier1", "tier2", "tier3", "caps", "oov"]
     value = lambda x: f"case when text is null or coalesce(bad, false) then null else {x} end"
-    return f"""with {_ALL}, {_V03}, {_UNITS}, streams as (
-    select doc_id, {payload} as body, count(*) as n_tokens, {tiers}, count(*) filter ({known} and token <> low) as caps, count(*) filter (not {known}) as oov, bool_or({bad}) as bad from coded group by doc_id)
-  select doc_id, {value(size)} as payload, {fmt} as fmt, {", ".join(f"{value(f'coalesce({x}, 0)')} as {x}" for x in sums)}, strlen(text) as src_bytes, """
+    return f"""{_streams(payload, known, bad)}
+  select doc_id, {value(whole)} as payload, {fmt} as fmt, {", ".join(f"{value(f'coalesce({x}, 0)')} as {x}" for x in sums)}, strlen(text) as src_bytes, {value(size)} as enc_bytes,
+    case when bad then 'a token is too long for the binary stream' end as error from documents left join streams using (doc_id)"""
 
 
 _FMT = "coalesce('.' || lower(documents.fmt), '.txt')"
@@ -620,12 +626,15 @@ _TEXT_OUT = "'ELO|1|' || ltrim(" + _FMT + ", '.') || '|' || coalesce(body, '')"
 _HEX_OUT = "'454C4F0203747874' || coalesce(body, '')"
 
 
-@_query(_stream_sql(f"string_agg({_TEXT_PIECE}, '|' order by i)", _TEXT_OUT, _TEXT_KNOWN, _FMT, "false") + f"case when text is not null then strlen({_TEXT_OUT}) end as enc_bytes, null::varchar as error from documents left join streams using (doc_id)")
+_TEXT_BODY, _HEX_BODY = f"string_agg({_TEXT_PIECE}, '|' order by i)", f"string_agg({_HEX}, '' order by i)"
+
+
+@_query(_stream_sql(_TEXT_BODY, _TEXT_KNOWN, "false", _TEXT_OUT, f"strlen({_TEXT_OUT})", _FMT))
 def encode_phrase_stream(s, d):
     return codec.encoded(_docs(s, d, "doc_id", "text", "fmt").withColumn("fmt", F.concat(F.lit("."), F.lower("fmt"))), _v03(s, d)[0])
 
 
-@_query(_stream_sql(f"string_agg({_HEX}, '' order by i)", _HEX_OUT, _KNOWN, "'.txt'", _TOO_LONG) + f"case when text is not null and not coalesce(bad, false) then length({_HEX_OUT}) // 2 end as enc_bytes, case when bad then 'a token is too long for the binary stream' end as error from documents left join streams using (doc_id)")
+@_query(_stream_sql(_HEX_BODY, _KNOWN, _TOO_LONG, _HEX_OUT, f"length({_HEX_OUT}) // 2", "'.txt'"))
 def encode_binary_stream(s, d):
     """The binary streams, their payload shown in hex."""
     return codec.encoded(_docs(s, d), _v03(s, d)[0], binary=True).withColumn("payload", F.hex("payload"))
@@ -653,6 +662,99 @@ def roundtrip_text(s, d):
     return codec.round_trip(_docs(s, d), _v03(s, d)[0])
 
 
+@_query(f"{_streams(_HEX_BODY, _KNOWN, _TOO_LONG)} select count(*) as n_docs, cast(sum(strlen(text)) as bigint) as src_bytes, cast(sum(case when not coalesce(bad, false) then length({_HEX_OUT}) // 2 end) as bigint) as enc_bytes, bool_and(not coalesce(bad, false)) as all_same from documents left join streams using (doc_id) where text is not null")
+def codec_totals(s, d):
+    """One row of a benchmark of the binary stream: documents, bytes before and after, and whether all came back."""
+    docs, entries = _docs(s, d).where("text is not null"), _v03(s, d)[0]
+    both = codec.encoded(docs, entries, binary=True).select("doc_id", "src_bytes", "enc_bytes").join(codec.round_trip(docs, entries, binary=True), "doc_id")
+    return both.agg(F.count("*").alias("n_docs"), F.sum("src_bytes").alias("src_bytes"), F.sum("enc_bytes").alias("enc_bytes"), F.bool_and("same").alias("all_same"))
+
+
+@_query("select doc_id, md5(text) as digest from documents")
+def decoded_bytes(s, d):
+    """The digest of each document's bytes after encoding and decoding them."""
+    entries = written(dictionary.words_dictionary(_counts(s, d)), "dictionary")
+    docs = _docs(s, d).select("doc_id", F.encode("text", "UTF-8").cast("string").alias("text"))
+    back = codec.decoded(codec.encoded(docs, entries, binary=True), entries, binary=True)
+    return back.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+_HEADS = {0: ("ELO|1|txt|", None), 1: ("ELO|9|txt|A", "unknown version: 9"), 2: ("XYZ|1|txt|A", "not a text stream"), 3: ("ELO|1", "not a text stream")}
+
+
+@_query(f"select doc_id, case doc_id % 4 {' '.join(f'when {k} then {_quoted([e]) if e else chr(39) * 2}' for k, (_, e) in _HEADS.items())} end as error from documents")
+def stream_headers(s, d):
+    """What is said of streams with a good header, another version, another magic, and none."""
+    heads = F.array(*[F.lit(h) for h, _ in _HEADS.values()])
+    streams = _docs(s, d, "doc_id").select("doc_id", F.get(heads, (F.col("doc_id") % 4).cast("int")).alias("payload"))
+    entries = s.createDataFrame(list(C.TIER0_IDS.items()), "surface string, base64_id string")
+    return codec.decoded(streams, entries).select("doc_id", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@_query(f"with {_CNT} select token, freq from counts")
+def frequency_file(s, d):
+    path = new_path(s, "frequencies")
+    files.write_frequencies(_counts(s, d), path)
+    return files.read_frequencies(s, path)
+
+
+@_query(f"with {_TOK}, {_gram(9)}, {_SAVED} select n, phrase, freq from saved")
+def ngram_file(s, d):
+    """Runs written to two files, of 2 to 5 and of 6 to 9 words, and read together."""
+    scored, paths = written(ngrams.with_savings(_grams(s, d), MIN_FREQ), "scored"), [new_path(s, "ngrams"), new_path(s, "ngrams")]
+    files.write_ngrams(scored.where("n <= 5"), paths[0])
+    files.write_ngrams(scored.where("n > 5"), paths[1])
+    return files.read_ngrams(s, *paths)
+
+
+@_query(f"with {_ALL} select phrase, n, freq, cast(printf('%.2f', pmi) as double) as pmi from kept")
+def phrase_file(s, d):
+    path = new_path(s, "phrases")
+    files.write_phrases(_mined(s, d), path)
+    return files.read_phrases(s, path)
+
+
+@_query(f"with {_CNT}, {_gram(9)}, {_SAVED}, {_PMI}, strong as (select * from pmis where pmi >= 12), {_ABS.replace('saved', 'strong')} select phrase, n, freq, round(pmi, 6) as pmi from strong where phrase not in (select phrase from absorbed)")
+def phrases_over_pmi(s, d):
+    """Phrases with a least mutual information."""
+    return phrases.mined(_grams(s, d), _counts(s, d), MIN_FREQ, min_pmi=12.0).select("phrase", "n", "freq", F.round("pmi", 6).alias("pmi"))
+
+
+_ESCAPED = "array_to_string([case when c = chr(92) then chr(92) || chr(92) when c = chr(10) then '\\n' when c = chr(9) then '\\t' when c = chr(13) then '\\r' when unicode(c) between 32 and 126 then c when unicode(c) < 256 then printf('\\x%02x', unicode(c)) when unicode(c) < 65536 then printf('\\u%04x', unicode(c)) else printf('\\U%08x', unicode(c)) end for c in [substr(token, k, 1) for k in range(1, length(token) + 1)]], '')"
+
+
+@_query(f"with {_CNT} select token, {_ESCAPED} as escaped, token as back from counts")
+def token_escapes(s, d):
+    rows = _counts(s, d).select("token", files.escaped("token").alias("escaped"))
+    return rows.select("token", "escaped", files.unescaped("escaped").alias("back"))
+
+
+#: Files of transcripts: a video's chunks in parts of 100 numbers, each a file of its own.
+_PARTS = "select video_id || '-' || (chunk_id // 100) as video_id, row_number() over (partition by video_id, chunk_id // 100 order by chunk_id) - 1 as chunk_id, text from (select video_id, chunk_id, min(text) as text from chunks where video_id is not null and chunk_id is not null group by all)"
+
+
+def _transcript_files(s: SparkSession, d: str) -> str:
+    """A folder of transcript files with the table's chunks; each file has 100 chunks at most."""
+    rows = table(s, d, "chunks", "video_id", "chunk_id", "text").where("video_id is not null and chunk_id is not null").groupBy("video_id", "chunk_id").agg(F.min("text").alias("text"))
+    name = F.concat_ws("-", "video_id", F.floor(F.col("chunk_id") / 100).cast("string"))
+    of = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: F.struct(x.text.alias("text")))
+    path = new_path(s, "transcripts")
+    rows.groupBy(name.alias("video_id")).agg(of.alias("chunks")).withColumn("file", F.col("video_id")).write.partitionBy("file").json(path)
+    return path
+
+
+@_query(_PARTS)
+def raw_chunk_texts(s, d):
+    return scans.raw_texts(scans.read_files(s, _transcript_files(s, d))).select("video_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text")
+
+
+@_query(f"with recursive chunks_ as ({_PARTS}), {_CLEAN.replace('from chunks where', 'from chunks_ where')} select video_id, chunk_id, text, 'unknown' as channel_name, chunk_id as meta_chunk_id from clean")
+def transcript_scan(s, d):
+    """Transcript files scanned: chunks without repeats and overlaps, with their metadata."""
+    got = scans.scan(s, _transcript_files(s, d))
+    return got.select("video_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text", "meta.channel_name", F.col("meta.chunk_id").cast("long").alias("meta_chunk_id"))
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Encoding statistics by language: tokens by tier, words without entry, bytes before and after, and their ratio."""
     docs = _docs(s, d, "doc_id", "text", "lang")

@@ -69,11 +69,13 @@ def same_bytes(files: DataFrame) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
-    """Writes one file for each row of name and content below ``folder`` (shared by all tasks); gives their number.
+    """Writes one file for each row of name and content below ``folder``, on a file system that all tasks have mounted; gives their number.
 
     A file is written beside its place and then moved, so a task that runs again leaves it whole. Names that
-    leave the folder are an error.
+    leave the folder are an error, and so is a folder of another file system: tasks would write to a local folder of that name.
     """
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"not on a mounted file system: {folder}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os

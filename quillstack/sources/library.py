@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.transcripts import upserted
 
@@ -23,9 +24,11 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
 
 
 def merged(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
-    """The library table with ``new`` rows put in: one row for each key, the latest."""
+    """The library table with ``new`` rows put in: one row for each key, the latest. New rows without a time have the time of now."""
     columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-    return upserted(old.select(columns), new.select(columns), KEYS[name], TIMES[name])
+    now = F.current_timestamp()
+    stamped = new.withColumn(TIMES[name], F.coalesce(TIMES[name], now)) if TIMES[name] in new.columns else new.withColumn(TIMES[name], now)
+    return upserted(old.select(columns), stamped.select(columns), KEYS[name], TIMES[name])
 
 
 def write_index(vectors: DataFrame, path: str) -> None:

@@ -34,9 +34,12 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_frequencies(counts: DataFrame, path: str) -> None:
-    """Lines of freq, tab, escaped token, the most frequent first, in files that follow one another."""
+    """Lines of freq, tab, escaped token, the most frequent first, in files that follow one another; the first begins with lines headed by #."""
+    totals = counts.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("total"), F.count("*").alias("forms"))
+    head = totals.select(F.explode(F.array(F.lit("# token counts"), F.concat(F.lit("# total tokens: "), "total"), F.concat(F.lit("# unique forms: "), "forms"), F.lit("# freq\ttoken"))).alias("value"))
     rows = counts.orderBy(F.desc("freq"), F.asc("token"))
-    rows.select(F.concat_ws("\t", F.col("freq").cast("string"), escaped("token")).alias("value")).write.mode("overwrite").text(path)
+    lines = rows.select(F.concat_ws("\t", F.col("freq").cast("string"), escaped("token")).alias("value"))
+    head.unionByName(lines).write.mode("overwrite").text(path)
 
 
 def read_frequencies(spark: SparkSession, path: str) -> DataFrame:

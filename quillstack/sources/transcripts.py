@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transcripts as O
+from ..plans.scratch import written
 
 CHUNK = "array<struct<text: string, start: double, end: double, start_hms: string, end_hms: string, speaker: string>>"
 FILE = f"video_id string, channel_name string, title string, chunks {CHUNK}, _broken string"
@@ -27,8 +28,10 @@ def read_files(spark: SparkSession, folder: str, limit: int | None = None) -> Da
     path = F.col("_metadata.file_path")
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
     rows = reader.load(source, format="json").select(path.alias("path"), F.when(F.col("video_id") != "", F.col("video_id")).otherwise(stem).alias("video_id"), F.coalesce("channel_name", F.lit("unknown")).alias("channel_name"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("chunks", F.array().cast(CHUNK)).alias("chunks"), "_broken")
-    first = Window.partitionBy("video_id").orderBy("path")
-    return rows.where("_broken is null").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank", "_broken")
+    rows = rows.where("_broken is null").drop("_broken")
+    # chosen by two small columns: chunks aren't shuffled for it
+    first = rows.groupBy("video_id").agg(F.min("path").alias("path"))
+    return rows.join(first, ["video_id", "path"], "left_semi").select("path", "video_id", "channel_name", "title", "chunks")
 
 
 def raw_texts(files: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def chunk_rows(files: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, folder: str, stats: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """video_id, chunk_id, text (without repeats and overlaps) and meta of all chunks, without videos that ``stats`` has."""
-    rows = chunk_rows(read_files(spark, folder, limit))
+    rows = written(chunk_rows(read_files(spark, folder, limit)), "chunk_rows")  # parsed once
     if stats is not None:
         rows = O.unprocessed(rows, stats)
     return with_meta(rows, O.cleaned(rows))

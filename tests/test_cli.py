@@ -25,3 +25,11 @@ def test_pipeline(spark, tmp_path):
         assert main(["verify", at("dict"), str(docs), *flag]) == 0
     assert main(["encode", at("dict"), str(docs / "a.txt"), at("one")]) == 0
     assert (tmp_path / "one/a.txt.elo").exists()
+    (tmp_path / "one/a.txt.elo").rename(tmp_path / "one/plain.elo")
+    assert main(["decode", at("dict"), at("one")]) == 0  # beside the stream, with the header's extension
+    assert (tmp_path / "one/plain.txt").read_bytes() == (docs / "a.txt").read_bytes()
+    assert main(["bench", at("dict"), str(docs), "--binary", "--out-json", at("bench")]) == 0
+    rows = [json.loads(x) for f in (tmp_path / "bench/files").glob("*.json") for x in f.read_text().splitlines()]
+    assert {r["name"]: r["same"] for r in rows} == {"a.txt": True, "sub/b.md": True}
+    total = [json.loads(x) for f in (tmp_path / "bench/totals").glob("*.json") for x in f.read_text().splitlines()]
+    assert total[0]["n_docs"] == 2 and total[0]["src_bytes"] == sum(r["src_bytes"] for r in rows) and total[0]["all_same"]

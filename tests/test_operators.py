@@ -244,3 +244,23 @@ def test_library_vectors(spark):
     assert [r[0] for r in stage] == ["STAGE_PERCEPTION", "STAGE_RESULT", None]
     model = library.embedded(spark.createDataFrame([("a",), ("bb",)], "lemma string"), lambda words: [[float(len(w)), 0.0] for w in words])
     assert [round(x, 4) for r in model.collect() for x in r.embedding] == [1.0, 0.0, 1.0, 0.0]
+
+
+def test_first_delivery_of_a_chunk_counts(spark):
+    rows = spark.createDataFrame([("v", 0, "a late one here", 2), ("v", 0, "the first one here", 1), ("v", 1, "more of it", 5)], "video_id string, chunk_id int, text string, at int")
+    assert {r.text for r in transcripts.cleaned(rows, "at").collect()} == {"the first one here", "more of it"}
+    assert "a late one here" in {r.text for r in transcripts.cleaned(rows).collect()}
+
+
+def test_ngrams_of_any_length_behind_sieves(spark):
+    rng = random.Random(5)
+    phrase = " ".join(f"w{k}" for k in range(14))
+    rows = [" ".join(rng.choice(["x", "y", phrase]) for _ in range(rng.randrange(6))) for _ in range(80)]
+    want = {}
+    for t in rows:
+        w = t.split()
+        for n in range(3, 13):
+            for k in range(len(w) - n + 1):
+                want[n, " ".join(w[k : k + n])] = want.get((n, " ".join(w[k : k + n])), 0) + 1
+    got = {(r.n, r.phrase): r.freq for r in ngrams.ngram_counts(texts(spark, *rows), 3, 12, 4).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 4} and len(got) > 50

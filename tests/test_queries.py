@@ -20,9 +20,8 @@ def test_sql(spark, con, name):
     compare(con, queries.QUERIES[name](spark, FOLDER), queries.SQL[name])
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
-def test_rows(spark, name):
-    assert queries.QUERIES[name](spark, FOLDER).count() > 0
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
 
 
 def test_flagship(spark):
@@ -38,8 +37,4 @@ def test_every_length_by_hand(spark, con):
                 key = " ".join(text[k : k + n])
                 grams[n][key] = grams[n].get(key, 0) + 1
     want = {(n, len(g), sum(g.values())) for n, g in grams.items()}
-    assert {(r.n, r.n_phrases, r.n_occurrences) for r in queries.ngrams_by_every_length(spark, FOLDER).collect()} == want
-
-
-def test_many_tokens_without_entry(spark):
-    assert queries.oov_tokens_rare(spark, FOLDER).count() > queries.oov_tokens(spark, FOLDER).count() + 100
+    assert {(r.n, r.n_phrases, r.n_occurrences) for r in queries.ngrams_by_length(spark, FOLDER).collect()} == want

@@ -101,7 +101,6 @@ def test_library_tables(spark, tmp_path):
 
 
 def test_streams(spark, talks, tmp_path):
-    (talks / "sub/b.json").unlink()  # a second file of a video is a second delivery to a stream
     chunks = corpus.chunk_stream(corpus.file_stream(spark, str(talks)))
     run = corpus.token_counts(chunks).writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     run.awaitTermination()
@@ -109,6 +108,19 @@ def test_streams(spark, talks, tmp_path):
     out = corpus.cleaned_stream(chunks.where("video_id = 'v1'")).writeStream.format("memory").queryName("cleaned").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     out.awaitTermination()
     assert {r.text for r in spark.table("cleaned").collect()} >= {"one two three four", "five & six"}
+    batch = {(r.video_id, r.chunk_id, r.text) for r in transcripts.scan(spark, str(talks)).where("video_id = 'v1'").collect()}
+    assert {(r.video_id, r.chunk_id, r.text) for r in spark.table("cleaned").collect()} == batch
+
+
+def test_files_go_to_mounted_folders_alone(spark):
+    rows = spark.createDataFrame([("a", b"x")], "name string, content binary")
+    with pytest.raises(ValueError, match="mounted"):
+        formats.write_files(rows, "s3a://bucket/folder")
+
+
+def test_new_library_rows_are_stamped(spark):
+    new = spark.createDataFrame([("v1", "c", 1, 2)], "video_id string, channel_name string, chunk_count int, token_count int")
+    assert library.merged("corpus_stats", library.empty(spark, "corpus_stats"), new).first().processed_at is not None
 
 
 def test_event_windows(spark, tmp_path):

@@ -13,7 +13,7 @@ FIRST = "ghijklmnopqrstuvwxyz"
 # --- fixed values: ids of one character ---
 SYSTEM_IDS = {"0": "STREAM_START", "1": "STREAM_END", "2": "CHUNK_BOUNDARY", "-": "ATTR_DELIMITER", "_": "CONTINUATION"}
 #: Words of the ids A to Z, in order.
-TIER0_WORDS = "a be we do he of to have in on for they i and or not all she this the it with will but you that".split()
+TIER0_WORDS = ["a", "be", "we", "do", "he", "of", "to", "have", "in", "on", "for", "they", "i", "and", "or", "not", "all", "she", "this", "the", "it", "with", "will", "but", "you", "that"]
 #: Marks of the ids g to z and 3 to 9, in order.
 TIER0_MARKS = [" ", "\n", "\t", ".", ",", ":", ";", "!", "?", "'", '"', "(", ")", "[", "]", "/", "\\", "-", "—", "&", "%", "$", "#", "@", "*", "+", "="]
 RESERVED_IDS = dict(zip("abcdef", ["RESERVED_STAGE_PERCEPTION", "RESERVED_STAGE_NOVELTY", "RESERVED_STAGE_GOAL_PLAN", "RESERVED_STAGE_ACTION", "RESERVED_STAGE_PROGRESS", "RESERVED_STAGE_RESULT"], strict=True))
@@ -39,7 +39,7 @@ HELD_OUT = ["KhyQCU6oqE8", "KOhbGjmidgs", "bRwFb8JmznE"]
 
 # --- fixed values: profiles of integer ids ---
 PROFILES = {"tiny": 32_496, "compact": 65_264, "standard": 130_800, "full": 261_872, "reference": None}
-SPECIAL_TOKENS = "PAD BOS EOS UNK SEP MASK CLS SYS USR AST TOOL RESULT PFX SFX MID RESERVED_15".split()
+SPECIAL_TOKENS = ["PAD", "BOS", "EOS", "UNK", "SEP", "MASK", "CLS", "SYS", "USR", "AST", "TOOL", "RESULT", "PFX", "SFX", "MID", "RESERVED_15"]
 BYTE_IDS = 256
 
 # --- fixed values: wire formats ---
@@ -82,12 +82,12 @@ ROLES = {
     "ADJ": "adjective", "ADV": "adverb", "PRON": "pronoun", "ADP": "preposition", "PART": "particle", "INTJ": "interjection", "NUM": "numeral",
 }
 POLE_SEEDS = {
-    "E+": "good wonderful excellent pleasant positive beautiful great nice".split(),
-    "E-": "bad terrible awful horrible negative nasty evil ugly".split(),
-    "P+": "strong powerful dominant forceful mighty potent heavy bold".split(),
-    "P-": "weak fragile powerless timid frail helpless small feeble".split(),
-    "A+": "active fast energetic dynamic lively quick vibrant alive".split(),
-    "A-": "passive slow calm inactive still quiet sluggish dormant".split(),
+    "E+": ["good", "wonderful", "excellent", "pleasant", "positive", "beautiful", "great", "nice"],
+    "E-": ["bad", "terrible", "awful", "horrible", "negative", "nasty", "evil", "ugly"],
+    "P+": ["strong", "powerful", "dominant", "forceful", "mighty", "potent", "heavy", "bold"],
+    "P-": ["weak", "fragile", "powerless", "timid", "frail", "helpless", "small", "feeble"],
+    "A+": ["active", "fast", "energetic", "dynamic", "lively", "quick", "vibrant", "alive"],
+    "A-": ["passive", "slow", "calm", "inactive", "still", "quiet", "sluggish", "dormant"],
 }
 STAGES = {
     "STAGE_PERCEPTION": (0.0, 0.0, 0.5),

@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstack.constants import FORCED, TIER0_IDS
+from quillstack.constants import BASE64, FORCED, TIER0_IDS
 from quillstack.operators import codec, dictionary, fillers, frequency, library, ngrams, phrases, ranking, transcripts
 from quillstack.operators.codec import Codec
+from quillstack.plans import scratch
 
 
 def texts(spark, *rows):
@@ -153,6 +154,45 @@ def test_large_dictionaries_decode_the_same(spark, monkeypatch, binary):
     assert any(r.error for r in small[0]) and sum(r.text is not None for r in small[0]) > 5
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_dictionaries_take_no_shuffle_of_documents(spark, monkeypatch):
+    docs = texts(spark, "You know it", None, "").withColumn("doc_id", F.monotonically_increasing_id())
+    entries = spark.createDataFrame(list(ENTRIES.items()), "surface string, base64_id string")
+    monkeypatch.setattr(codec, "MOST_SENT", 3)
+    for binary in (False, True):
+        streams = codec.encoded(docs, entries, binary)
+        for df in (streams, codec.decoded(streams, entries, binary), codec.round_trip(docs, entries, binary), codec.timed(docs, entries, binary)):
+            assert "Exchange" not in _plan(df) and "Join" not in _plan(df)
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_packed_dictionary_is_the_same_codec(spark, binary):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)] + ["É", "ß", "σας", "日本"]
+    surfaces = dict.fromkeys([*map(str.lower, words), "-", "|", "\n", " ", *(" ".join(rng.choices(words, k=rng.randrange(2, 10))).lower() for _ in range(400))])
+    entries = {s: "g" + BASE64[k // 64] + BASE64[k % 64] if k % 3 else "h" + BASE64[k // 4096] + BASE64[k // 64 % 64] + BASE64[k % 64] for k, s in enumerate(surfaces)}
+    small = Codec(entries)
+    large = codec.PackedCodec(codec.packed(spark.createDataFrame(list(entries.items()), "surface string, base64_id string")))
+    for _ in range(300):
+        text = "".join(rng.choice([*surfaces, rng.choice(words).upper(), "unknown", "ΣΑΣ", "İx"]) + rng.choice([" ", " ", "", ", ", "\n"]) for _ in range(30))
+        stream = small.encode(text, ".txt", binary)
+        assert large.encode(text, ".txt", binary) == stream
+        assert (large.decode_binary if binary else large.decode_text)(stream[0]) == (".txt", text)
+    with pytest.raises(ValueError):
+        (large.decode_binary if binary else large.decode_text)(b"ELO\x02\x00\x7f\x3f" if binary else "ELO|1||zz")
+    assert large.ids.get("no such word") is None and all(large.ids.get(s) == i for s, i in entries.items())
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = set(str(tracker.shuffleStatuses().keys().mkString(",")).split(","))
+    scratch.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert not set(str(tracker.shuffleStatuses().keys().mkString(",")).split(",")) - before
+
+
 def test_words_by_joins_are_the_same_stream(spark):
     words = {k: v for k, v in ENTRIES.items() if " " not in k or k == " "}
     entries = spark.createDataFrame([(s, i, len(i) - 1) for s, i in words.items()], "surface string, base64_id string, tier int")

@@ -126,6 +126,12 @@ def _counter(least: int, most: int, sieve, known: int):
         none = [np.zeros(0, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found["n"] or none), pa.int32()), pa.array(found["phrase"], pa.string()), pa.array(np.concatenate(found["freq"] or none), pa.int64())], ["n", "phrase", "freq"])
 
+    return _by_block(count)
+
+
+def _by_block(count):
+    """Gives ``count`` the words of some texts at once, and how many each text has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.Array] = []
         lens: list[np.ndarray] = []
@@ -151,6 +157,152 @@ def distinct_by_length(grams: DataFrame) -> DataFrame:
     return grams.groupBy("n").agg(F.count("*").alias("n_phrases"), F.sum("freq").alias("n_occurrences"))
 
 
+#: Lengths in one pass each where runs are only told apart.
+_PASSES = ((2, 2), (3, 3), (4, 4), (5, 9))
+_KEYS = ("0123456789abcdef", "fedcba9876543210")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by byte instead of one by one, so that bytes which are mostly zero compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _distinct(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    order = np.lexsort((low, high))
+    high, low, counts = high[order], low[order], counts[order]
+    first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])][: len(high)])
+    return high[first], low[first], np.add.reduceat(counts, first, dtype=counts.dtype) if len(first) else counts
+
+
+def length_totals(texts: DataFrame, least: int = NGRAMS[0], most: int = NGRAMS[1], column: str = "text") -> DataFrame:
+    """n, n_phrases and n_occurrences of all runs of ``least`` to ``most`` words, of any frequency, as ``distinct_by_length`` of their counts.
+
+    How many runs occur follows from the sizes of the texts; those that occur once are what the repeated ones leave. A run is
+    repeated only if the shorter ones in it are, so lengths are gone through level by level behind a sieve as in ``ngram_counts``.
+    Runs go by 96 bits of hash (of a billion runs two fall together once in a hundred billion times), sorted and packed by block.
+    """
+    rows = texts.select(T.words(column).alias("w"))
+    parts = 1 << max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
+    passes = [(a, min(b, most)) for a, b in _PASSES if a <= most]
+    passes += [(_PASSES[-1][1] + 1, most)] if most > _PASSES[-1][1] else []
+    spark, sieve, known = texts.sparkSession, None, 0
+    total, repeated = dict.fromkeys(range(2, most + 1), 0), {}
+    for first, last in passes:
+        packed = rows.mapInArrow(_hashed(first, last, most, sieve, known, parts), "part int, n int, size long, high binary, low binary, counts binary")
+        merged = written(packed.groupBy("part").applyInArrow(_merged(last if last < most else None), "part int, n int, size long, runs long, occurrences long, keys binary"), "lengths")
+        for r in merged.groupBy("n").agg(F.sum("size").alias("size"), F.sum("runs").alias("runs"), F.sum("occurrences").alias("occurrences")).collect():  # a row for each length
+            total[r.n] += r["size"] or 0
+            repeated[r.n] = (repeated.get(r.n, (0, 0))[0] + (r.runs or 0), repeated.get(r.n, (0, 0))[1] + (r.occurrences or 0))
+        if last < most:
+            sieve, known = _ranged_sieve(merged.where((F.col("n") == last) & F.col("keys").isNotNull()), repeated.get(last, (0, 0))[0], parts), last
+    got = [(n, total[n] - repeated.get(n, (0, 0))[1] + repeated.get(n, (0, 0))[0], total[n]) for n in range(max(2, least), most + 1) if total[n]]
+    if least < 2 and most > 0:
+        words = rows.select(F.explode("w").alias("word")).groupBy("word").count().agg(F.count("*").alias("n"), F.sum("count").alias("total")).first()
+        got += [(1, words.n, words.total)] if words.n else []
+    return spark.createDataFrame(got, "n int, n_phrases long, n_occurrences long")
+
+
+def _hashed(least: int, most: int, longest: int, sieve, known: int, parts: int):
+    """The runs of ``least`` to ``most`` words as ``_counter`` tells them, by hash: a row for each block, length and part, in which keys are sorted and packed.
+
+    The part is the first bits of the hash. The first pass also says how many runs there are of each length up to ``longest``.
+    """
+    shift = np.uint64(64 - (parts - 1).bit_length())
+
+    def mixed(h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        out = (h ^ other) * _STEP
+        return (out ^ out >> np.uint64(29)) * _STEP
+
+    def count(words: pa.Array, lens: np.ndarray) -> pa.RecordBatch:
+        coded = words.dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int64), np.array(coded.dictionary.to_pylist(), object)
+        own = [pd.util.hash_array(names, hash_key=k, categorize=False).astype(np.uint64)[codes] for k in _KEYS]
+        ends = np.repeat(lens.cumsum(), lens)
+        start = np.arange(len(codes))
+        keys = [mixed(h, np.uint64(0)) for h in own]
+        out: dict[str, list] = {c: [] for c in ("part", "n", "size", "high", "low", "counts")}
+        fine = None
+        if sieve is None:
+            for n in range(2, longest + 1):
+                for c, x in zip(out, (0, n, int(np.maximum(lens - n + 1, 0).sum()), None, None, None), strict=True):
+                    out[c].append(x)
+        for n in range(2, most + 1):
+            keep = start + n <= ends[start]
+            if fine is not None:
+                keep[keep] &= fine[start[keep] + n - known]
+            start = start[keep]
+            keys = [mixed(h[keep], x[start + n - 1]) for h, x in zip(keys, own, strict=True)]
+            if n == known:  # from here on: whether the run of that many words that begins at a place is in the sieve
+                at = keys[0] >> np.uint64(64 - (len(sieve.value) * 8 - 1).bit_length())
+                held = (sieve.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+                fine = np.zeros(len(codes), bool)
+                fine[start[held]] = True
+                start, keys = start[held], [h[held] for h in keys]
+            if n >= least and len(start):
+                high, low, counts = _distinct(keys[0], keys[1].astype(np.uint32), np.ones(len(start), np.uint32))
+                bounds = np.searchsorted(high >> shift, np.arange(parts + 1).astype(np.uint64))
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    if a < b:
+                        steps = np.diff(high[a:b], prepend=np.uint64(0))
+                        for c, x in zip(out, (k, n, 0, _planes(steps), _planes(low[a:b]), _planes(counts[a:b])), strict=True):
+                            out[c].append(x)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds, strict=True)], list(out))
+
+    return _by_block(count)
+
+
+def _merged(kept: int | None):
+    """For each length in a part: runs that occur more than once, how often they do, and of the length ``kept`` their hashes."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        part, out = table.column("part")[0].as_py(), []
+        for n in pc.unique(table.column("n")).to_pylist():
+            own = table.filter(pc.equal(table.column("n"), n))
+            held = own.filter(pc.is_valid(own.column("high")))
+            runs, times, keys = 0, 0, None
+            if len(held):
+                high = np.concatenate([np.cumsum(_values(x.as_py(), np.uint64), dtype=np.uint64) for x in held.column("high")])
+                low, counts = (np.concatenate([_values(x.as_py(), np.uint32) for x in held.column(c)]) for c in ("low", "counts"))
+                high, _, sums = _distinct(high, low, counts.astype(np.int64))
+                more = sums > 1
+                runs, times, keys = int(more.sum()), int(sums[more].sum()), high[more].tobytes() if n == kept else None
+            out.append((part, n, pc.sum(own.column("size")).as_py(), runs, times, keys))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "n", "size", "runs", "occurrences", "keys"])
+
+    return merge
+
+
+def _ranged_sieve(merged: DataFrame, frequent: int, parts: int):
+    """A bitmap of the hashes in ``keys``, as a broadcast variable of bounded size. Each part has a range of it, made by one task."""
+    bits = max(1 << 16, parts * 64)
+    while bits < min(_MOST_BITS, frequent * _BITS):
+        bits *= 2
+    size = bits // parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = []
+            for keys in batch.column(1).to_pylist():
+                at = (np.frombuffer(keys, np.uint64) >> np.uint64(64 - (bits - 1).bit_length())) & np.uint64(size - 1)
+                cells = np.zeros(size, bool)
+                cells[at.astype(np.int64)] = True
+                ranges.append(np.packbits(cells, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranges, pa.binary())], ["part", "bits"])
+
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in merged.select("part", "keys").mapInArrow(run, "part int, bits binary").toLocalIterator():  # of bits / 8 bytes in all
+        bitmap[r.part * size // 8 : (r.part + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
+    return merged.sparkSession.sparkContext.broadcast(bitmap)
+
+
 def with_savings(grams: DataFrame, min_freq: int = MIN_FREQ) -> DataFrame:
     """Phrases frequent enough that an id of their own saves bytes: word_cost, phrase_cost, savings_each and savings_total."""
     cost = F.col("n") * F.lit(WORD_BYTES)

@@ -180,7 +180,7 @@ def ngram_counts(s, d):
 
 @_query(f"with {_TOK}, {_gram(9)} select n, count(*) as n_phrases, cast(sum(freq) as bigint) as n_occurrences from grams group by n")
 def ngrams_by_length(s, d):
-    return ngrams.distinct_by_length(ngrams.ngram_counts(_docs(s, d, "text")))
+    return ngrams.length_totals(_docs(s, d, "text"))
 
 
 @_query("""with chunk_tok as (select video_id, chunk_id, text from chunks where video_id is null or video_id not in (select video_id from eval_items where video_id is not null)),

@@ -304,3 +304,20 @@ def test_ngrams_of_any_length_behind_sieves(spark):
                 want[n, " ".join(w[k : k + n])] = want.get((n, " ".join(w[k : k + n])), 0) + 1
     got = {(r.n, r.phrase): r.freq for r in ngrams.ngram_counts(texts(spark, *rows), 3, 12, 4).collect()}
     assert got == {k: v for k, v in want.items() if v >= 4} and len(got) > 50
+
+
+@pytest.mark.parametrize(("least", "most"), [(1, 1), (2, 9), (3, 4), (2, 12)])
+def test_length_totals_are_those_of_the_counts(spark, least, most):
+    rng = random.Random(7)
+    phrase = " ".join(f"w{k}" for k in range(11))
+    rows = [" ".join(rng.choice(["x", "Y", "z.z", f"u{k}", phrase]) for _ in range(rng.randrange(9))) for k in range(120)] + [None, "", "one"]
+    want = {tuple(r) for r in ngrams.distinct_by_length(ngrams.ngram_counts(texts(spark, *rows), least, most)).collect()}
+    assert {tuple(r) for r in ngrams.length_totals(texts(spark, *rows), least, most).collect()} == want
+    assert not ngrams.length_totals(texts(spark, None, ""), least, most).collect()
+
+
+def test_length_totals_shuffle_no_phrases(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngrams, "written", lambda df, name: seen.append(df) or scratch.written(df, name))
+    ngrams.length_totals(texts(spark, "a b c", "a b c"))
+    assert seen and all("phrase" not in df._jdf.queryExecution().executedPlan().toString() for df in seen)

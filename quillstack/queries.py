@@ -665,9 +665,8 @@ def roundtrip_text(s, d):
 @_query(f"{_streams(_HEX_BODY, _KNOWN, _TOO_LONG)} select count(*) as n_docs, cast(sum(strlen(text)) as bigint) as src_bytes, cast(sum(case when not coalesce(bad, false) then length({_HEX_OUT}) // 2 end) as bigint) as enc_bytes, bool_and(not coalesce(bad, false)) as all_same from documents left join streams using (doc_id) where text is not null")
 def codec_totals(s, d):
     """One row of a benchmark of the binary stream: documents, bytes before and after, and whether all came back."""
-    docs, entries = _docs(s, d).where("text is not null"), _v03(s, d)[0]
-    both = codec.encoded(docs, entries, binary=True).select("doc_id", "src_bytes", "enc_bytes").join(codec.round_trip(docs, entries, binary=True), "doc_id")
-    return both.agg(F.count("*").alias("n_docs"), F.sum("src_bytes").alias("src_bytes"), F.sum("enc_bytes").alias("enc_bytes"), F.bool_and("same").alias("all_same"))
+    rows = codec.timed(_docs(s, d), _v03(s, d)[0], binary=True)
+    return codec.bench_totals(rows).select("n_docs", "src_bytes", "enc_bytes", "all_same")
 
 
 @_query("select doc_id, md5(text) as digest from documents")

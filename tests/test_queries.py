@@ -2,6 +2,7 @@ from pathlib import Path
 
 import pytest
 
+from quillstack import constants as C
 from quillstack import queries
 from quillstack.functions import text as T
 
@@ -38,3 +39,10 @@ def test_every_length_by_hand(spark, con):
                 grams[n][key] = grams[n].get(key, 0) + 1
     want = {(n, len(g), sum(g.values())) for n, g in grams.items()}
     assert {(r.n, r.n_phrases, r.n_occurrences) for r in queries.ngrams_by_length(spark, FOLDER).collect()} == want
+
+
+def test_codec_totals_goes_over_documents_once(spark, monkeypatch):
+    entries = spark.createDataFrame(list(C.TIER0_IDS.items()), "surface string, base64_id string")
+    monkeypatch.setattr(queries, "_v03", lambda s, d: (entries, None))
+    got = queries.codec_totals(spark, FOLDER)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and got.first().all_same

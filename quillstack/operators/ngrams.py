@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CAPACITY, HELD_OUT, MIN_FREQ, NGRAMS, PHRASE_BYTES, WORD_BYTES
 from ..functions import text as T
+from ..functions.packing import planes, pressed, unpressed, values
 from ..plans.scratch import written
 from .ranking import running, top
 
@@ -43,23 +44,28 @@ def ngram_counts(texts: DataFrame, least: int = NGRAMS[0], most: int = NGRAMS[1]
     Words are lower-cased; white space and marks between them don't matter. With a ``min_freq`` lengths are counted
     level by level: a run is formed only if the shorter ones in it are frequent, as they must be. Which those are is told
     by a bitmap of their hashes, whose size is bounded; where it errs a run is counted in vain, so counts are exact.
-    Texts are never shuffled, only each task's sums. Null texts, and texts of fewer words, have none.
+    Texts are never shuffled, only each block's sums, sorted and compressed by part. Null texts, and texts of fewer words, have none.
     """
     rows = texts.select(T.words(column).alias("w"))
     if min_freq <= 1 or least < 2:
         return rows.select(F.explode(runs(F.col("w"), least, most)).alias("g")).groupBy("g.n", "g.phrase").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
     levels = [(a, min(b, most)) for a, b in LEVELS if a <= most]
     levels += [(LEVELS[-1][1] + 1, most)] if most > LEVELS[-1][1] else []
-    out, sieve, known = None, None, 0
+    parts, out, sieve, known = _parts(rows), None, None, 0
     for first, last in levels:
-        sums = rows.mapInArrow(_counter(first, last, sieve, known), "n int, phrase string, freq long")
-        level = written(sums.groupBy("n", "phrase").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= min_freq), "runs")
+        sums = rows.mapInArrow(_counter(first, last, sieve, known, parts), "part int, phrases binary, freqs binary")
+        level = written(sums.groupBy("part").applyInArrow(_summed(min_freq), "n int, phrase string, freq long"), "runs")
         out = level if out is None else out.unionByName(level)
         if last < most:
             sieve, known = _sieve(level.where(F.col("n") == last), last), last
     return out.where(F.col("n") >= least) if least > 2 else out
 
 
+def _parts(rows: DataFrame) -> int:
+    """Parts by hash that runs are shuffled in, a power of two: four for each part of the texts."""
+    return 1 << max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
+
+
 def _hashes(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False).astype(np.uint64)
 
@@ -92,43 +98,75 @@ def _sieve(frequent: DataFrame, n: int):
     return frequent.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def _counter(least: int, most: int, sieve, known: int):
-    """Counts, by block of words, the runs of ``least`` to ``most`` words in which all of ``known`` words are in the sieve."""
+def _counter(least: int, most: int, sieve, known: int, parts: int):
+    """Counts, by block of words, the runs of ``least`` to ``most`` words in which all of ``known`` words are in the sieve.
+
+    A row for each block and part: its runs in order of their words, a line each, and how often they occur, both compressed.
+    The part is the first bits of the run's hash.
+    """
+    shift = np.uint64(64 - (parts - 1).bit_length())
+
+    def mixed(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = (before ^ h) * _STEP
+        return (out ^ out >> np.uint64(29)) * _STEP
 
     def count(words: pa.Array, lens: np.ndarray) -> pa.RecordBatch:
         coded = words.dictionary_encode()
-        codes, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        coded_names = np.array(coded.dictionary.to_pylist(), object)
+        order = coded_names.argsort()
+        size = len(order)
+        rank = np.empty(size, np.int64)
+        rank[order] = np.arange(size)
+        codes = rank[coded.indices.to_numpy()]
+        h = _hashes(coded.dictionary)[order][codes]
         ends = np.repeat(lens.cumsum(), lens)
-        place = np.arange(len(codes))
         if sieve is None:
             fine = None
         else:
             n = max(0, len(codes) - known + 1)
-            h = _hashes(coded.dictionary)[codes]
             at = _places([h[k : n + k] for k in range(known)], len(sieve.value) * 64)
             fine = (sieve.value[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
-        whole = np.array(coded.dictionary.to_pylist(), object)[codes]
-        start, code = place, codes
-        found: dict[str, list] = {"n": [], "phrase": [], "freq": []}
+        whole = coded_names[order][codes]
+        start, code, key = np.arange(len(codes)), codes, mixed(np.uint64(0), h)
+        phrases: list[str] = []
+        freqs, places = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for n in range(2, most + 1):
             keep = start + n <= ends[start]
             if fine is not None and n >= known:
                 keep[keep] &= fine[start[keep] + n - known]
             start = start[keep]
-            code, _ = pd.factorize(code[keep] * size + codes[start + n - 1])
+            key = mixed(key[keep], h[start + n - 1])
+            _, first, code, counts = np.unique(code[keep] * size + codes[start + n - 1], return_index=True, return_inverse=True, return_counts=True)
             if n >= least and len(start):
-                counts = np.bincount(code)
-                first = np.empty(len(counts), np.int64)
-                first[code[::-1]] = start[::-1]
-                found["n"].append(np.full(len(counts), n, np.int32))
-                found["phrase"] += map(" ".join, zip(*[whole[first + k] for k in range(n)], strict=True))
-                found["freq"].append(counts)
-        none = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found["n"] or none), pa.int32()), pa.array(found["phrase"], pa.string()), pa.array(np.concatenate(found["freq"] or none), pa.int64())], ["n", "phrase", "freq"])
+                phrases += map(" ".join, zip(*[whole[start[first] + k] for k in range(n)], strict=True))
+                freqs.append(counts.astype(np.uint32))
+                places.append((key[first] >> shift).astype(np.int64))
+        part, freq = np.concatenate(places), np.concatenate(freqs)
+        order = part.argsort(kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+        lines, freq = np.array(phrases, object)[order], freq[order]
+        out = [(k, pressed("\n".join(lines[a:b]).encode()), pressed(planes(freq[a:b]))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+        kinds = [pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["part", "phrases", "freqs"])
 
     return _by_block(count)
 
 
+def _summed(min_freq: int):
+    """n, phrase and freq of the runs of a part that occur at least ``min_freq`` times."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        lines = pa.array([unpressed(x.as_py()) for x in table.column("phrases")], pa.binary()).cast(pa.large_string())
+        freqs = np.concatenate([values(unpressed(x.as_py()), np.uint32) for x in table.column("freqs")]).astype(np.int64)
+        rows = pa.table([pc.list_flatten(pc.split_pattern(lines, "\n")), pa.array(freqs)], names=["phrase", "freq"])
+        sums = rows.group_by("phrase", use_threads=False).aggregate([("freq", "sum")])
+        kept = sums.filter(pc.greater_equal(sums.column("freq_sum"), min_freq))
+        n = pc.add(pc.count_substring(kept.column("phrase"), " "), 1).cast(pa.int32())
+        return pa.table([n, kept.column("phrase").cast(pa.string()), kept.column("freq_sum")], names=["n", "phrase", "freq"])
+
+    return merge
+
+
 def _by_block(count):
     """Gives ``count`` the words of some texts at once, and how many each text has."""
 
@@ -162,16 +200,6 @@ _PASSES = ((2, 2), (3, 3), (4, 4), (5, 9))
 _KEYS = ("0123456789abcdef", "fedcba9876543210")
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers by byte instead of one by one, so that bytes which are mostly zero compress."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def _values(planes: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _distinct(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sums of their counts."""
     order = np.lexsort((low, high))
@@ -188,7 +216,7 @@ def length_totals(texts: DataFrame, least: int = NGRAMS[0], most: int = NGRAMS[1
     Runs go by 96 bits of hash (of a billion runs two fall together once in a hundred billion times), sorted and packed by block.
     """
     rows = texts.select(T.words(column).alias("w"))
-    parts = 1 << max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
+    parts = _parts(rows)
     passes = [(a, min(b, most)) for a, b in _PASSES if a <= most]
     passes += [(_PASSES[-1][1] + 1, most)] if most > _PASSES[-1][1] else []
     spark, sieve, known = texts.sparkSession, None, 0
@@ -250,7 +278,7 @@ def _hashed(least: int, most: int, longest: int, sieve, known: int, parts: int):
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     if a < b:
                         steps = np.diff(high[a:b], prepend=np.uint64(0))
-                        for c, x in zip(out, (k, n, 0, _planes(steps), _planes(low[a:b]), _planes(counts[a:b])), strict=True):
+                        for c, x in zip(out, (k, n, 0, planes(steps), planes(low[a:b]), planes(counts[a:b])), strict=True):
                             out[c].append(x)
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds, strict=True)], list(out))
@@ -268,8 +296,8 @@ def _merged(kept: int | None):
             held = own.filter(pc.is_valid(own.column("high")))
             runs, times, keys = 0, 0, None
             if len(held):
-                high = np.concatenate([np.cumsum(_values(x.as_py(), np.uint64), dtype=np.uint64) for x in held.column("high")])
-                low, counts = (np.concatenate([_values(x.as_py(), np.uint32) for x in held.column(c)]) for c in ("low", "counts"))
+                high = np.concatenate([np.cumsum(values(x.as_py(), np.uint64), dtype=np.uint64) for x in held.column("high")])
+                low, counts = (np.concatenate([values(x.as_py(), np.uint32) for x in held.column(c)]) for c in ("low", "counts"))
                 high, _, sums = _distinct(high, low, counts.astype(np.int64))
                 more = sums > 1
                 runs, times, keys = int(more.sum()), int(sums[more].sum()), high[more].tobytes() if n == kept else None

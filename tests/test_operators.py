@@ -321,3 +321,11 @@ def test_length_totals_shuffle_no_phrases(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "written", lambda df, name: seen.append(df) or scratch.written(df, name))
     ngrams.length_totals(texts(spark, "a b c", "a b c"))
     assert seen and all("phrase" not in df._jdf.queryExecution().executedPlan().toString() for df in seen)
+
+
+def test_frequent_runs_are_shuffled_packed(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngrams, "written", lambda df, name: seen.append(df) or scratch.written(df, name))
+    got = ngrams.ngram_counts(texts(spark, "A b c. É_x", "a b c", "b c é_x", None, ""), 2, 9, 2)
+    assert {(r.n, r.phrase, r.freq) for r in got.collect()} == {(2, "a b", 2), (2, "b c", 3), (2, "c é_x", 2), (3, "a b c", 2), (3, "b c é_x", 2)}
+    assert seen and all("hashpartitioning(part" in _plan(df) and "hashpartitioning(n" not in _plan(df) for df in seen)

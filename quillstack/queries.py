@@ -649,7 +649,7 @@ def decode_phrase_stream(s, d):
 @_query("select doc_id, text from documents")
 def decode_binary_stream(s, d):
     entries = _v03(s, d)[0]
-    return codec.decoded(codec.encoded(_docs(s, d), entries, binary=True), entries, binary=True).select("doc_id", "text")
+    return codec.there_and_back(_docs(s, d), entries, binary=True).select("doc_id", "text")
 
 
 @_query("select doc_id, case when text is null then null else true end as same from documents")

@@ -6,11 +6,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillstack import queries
 from quillstack.constants import BASE64, FORCED, TIER0_IDS
 from quillstack.operators import codec, dictionary, fillers, frequency, library, ngrams, phrases, ranking, transcripts
 from quillstack.operators.codec import Codec
 from quillstack.plans import scratch
 
+from .oracle import FOLDER
+
 
 def texts(spark, *rows):
     return spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(rows)], "doc_id long, text string, token string, freq int")
@@ -329,3 +332,14 @@ def test_frequent_runs_are_shuffled_packed(spark, monkeypatch):
     got = ngrams.ngram_counts(texts(spark, "A b c. É_x", "a b c", "b c é_x", None, ""), 2, 9, 2)
     assert {(r.n, r.phrase, r.freq) for r in got.collect()} == {(2, "a b", 2), (2, "b c", 3), (2, "c é_x", 2), (3, "a b c", 2), (3, "b c é_x", 2)}
     assert seen and all("hashpartitioning(part" in _plan(df) and "hashpartitioning(n" not in _plan(df) for df in seen)
+
+
+@pytest.mark.parametrize(("binary", "query"), [(True, "decode_binary_stream")])
+def test_there_and_back_is_decoding_what_was_encoded(spark, binary, query):
+    assert _plan(queries.QUERIES[query](spark, FOLDER)).count("MapInArrow") == 1
+    docs = texts(spark, "You know it", None, "", "y" * 70_000).select("doc_id", "text")
+    entries = spark.createDataFrame(list(ENTRIES.items()), "surface string, base64_id string")
+    both = codec.decoded(codec.encoded(docs, entries, binary), entries, binary).select("doc_id", "text")
+    got = codec.there_and_back(docs, entries, binary)
+    assert sorted(got.select("doc_id", "text").collect(), key=str) == sorted(both.collect(), key=str)
+    assert [r.doc_id for r in got.where("error is not null").collect()] == ([3] if binary else [])

@@ -643,7 +643,7 @@ def encode_binary_stream(s, d):
 @_query("select doc_id, coalesce(text, null) as text from documents")
 def decode_phrase_stream(s, d):
     entries = _v03(s, d)[0]
-    return codec.decoded(codec.encoded(_docs(s, d), entries), entries).select("doc_id", "text")
+    return codec.there_and_back(_docs(s, d), entries).select("doc_id", "text")
 
 
 @_query("select doc_id, text from documents")

@@ -334,7 +334,7 @@ def test_frequent_runs_are_shuffled_packed(spark, monkeypatch):
     assert seen and all("hashpartitioning(part" in _plan(df) and "hashpartitioning(n" not in _plan(df) for df in seen)
 
 
-@pytest.mark.parametrize(("binary", "query"), [(True, "decode_binary_stream")])
+@pytest.mark.parametrize(("binary", "query"), [(True, "decode_binary_stream"), (False, "decode_phrase_stream")])
 def test_there_and_back_is_decoding_what_was_encoded(spark, binary, query):
     assert _plan(queries.QUERIES[query](spark, FOLDER)).count("MapInArrow") == 1
     docs = texts(spark, "You know it", None, "", "y" * 70_000).select("doc_id", "text")

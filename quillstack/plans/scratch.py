@@ -63,14 +63,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes all tables written within the block when it ends, on whatever file system: use results inside."""
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes all tables written within the block when it ends, on whatever file system: use results inside.
+
+    Gives the list of their paths, in order; one taken off it stays.
+    """
     made: list[str] = []
     _BLOCKS.append(made)
     try:
-        yield
+        yield made
     finally:
-        _BLOCKS.remove(made)
+        _BLOCKS[:] = [b for b in _BLOCKS if b is not made]
         for path in made:
             removed(spark, path)
 

@@ -12,7 +12,7 @@ from .functions import caps, ids
 from .functions import entities
 from .functions import text as T
 from .operators import codec, dictionary, fillers, frequency, library, ngrams, phrases, transcripts
-from .plans.scratch import new_path, spread, table, written
+from .plans.scratch import new_path, scratch, spread, table, written
 from .sources import formats
 from .sources import library as tables
 from .sources import tables as files
@@ -41,7 +41,8 @@ def _counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _grams(s: SparkSession, d: str, most: int = 9) -> DataFrame:
-    return written(ngrams.ngram_counts(_docs(s, d, "text"), 2, most, MIN_FREQ), "ngrams")
+    """Counts of frequent runs; with a least frequency they are written tables as they come."""
+    return ngrams.ngram_counts(_docs(s, d, "text"), 2, most, MIN_FREQ)
 
 
 # --- SQL that several queries share ---
@@ -250,8 +251,11 @@ def dictionary_v02(s, d):
 
 def _v03(s, d) -> tuple[DataFrame, DataFrame]:
     counts = _counts(s, d)
-    mined = phrases.mined(_grams(s, d), counts, MIN_FREQ).select("phrase", "n", "freq")
-    return written(dictionary.dictionary(counts, written(mined, "mined"), MIN_FREQ), "dictionary"), counts
+    with scratch(s) as made:
+        mined = phrases.mined(_grams(s, d), counts, MIN_FREQ).select("phrase", "n", "freq")
+        entries = written(dictionary.dictionary(counts, written(mined, "mined"), MIN_FREQ), "dictionary")
+        made.pop()  # of the tables the dictionary stays
+    return entries, counts
 
 
 @_query(f"with {_ALL}, {_V03} select surface, base64_id, tier, freq, kind, int_id from v03")

@@ -343,3 +343,11 @@ def test_there_and_back_is_decoding_what_was_encoded(spark, binary, query):
     got = codec.there_and_back(docs, entries, binary)
     assert sorted(got.select("doc_id", "text").collect(), key=str) == sorted(both.collect(), key=str)
     assert [r.doc_id for r in got.where("error is not null").collect()] == ([3] if binary else [])
+
+
+def test_only_the_dictionary_stays_of_its_tables(spark):
+    with scratch.scratch(spark) as made:
+        entries, counts = queries._v03(spark, FOLDER)
+        there = [p for p in made if scratch.file_system(spark, p)[0].exists(scratch.file_system(spark, p)[1])]
+        assert len(there) == 2 < len(made) and entries.count() > 500 < counts.count()
+    assert not any(scratch.file_system(spark, p)[0].exists(scratch.file_system(spark, p)[1]) for p in made)
